@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, sharding
+from . import mixing, quality_rules, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,11 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planned.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "rate", "copies")
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules.judge(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "chars", "chars_left")
+
+
 def op8_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     docs = docs.withColumn("text_crc32", F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8")))
@@ -25,7 +30,7 @@ def op8_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_mix_sources, op8_shard)}
+    return {f.__name__: f for f in (op1_mix_sources, op4_quality_rules, op8_shard)}
 
 
 OP1 = """
@@ -59,5 +64,52 @@ SELECT doc_id, size, source_size, target, CAST(copies * size AS BIGINT) AS taken
 """
 
 
+OP4 = """
+WITH d AS (
+  SELECT row_number() OVER () AS row_no, doc_id, source, coalesce(text, '') AS text FROM documents
+), w AS (
+  SELECT row_no, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS words, string_split(text, chr(10)) AS lines FROM d
+), spans AS (
+  SELECT row_no, unnest(range(1, len(words) - 6)) AS place, words FROM w WHERE len(words) >= 8
+), windows AS (
+  SELECT row_no, place, array_to_string(words[place:place + 7], ' ') AS win FROM spans
+), again AS (
+  SELECT row_no, place FROM windows QUALIFY count(*) OVER (PARTITION BY row_no, win) > 1
+), repeated AS (
+  SELECT row_no, sum(least(8, coalesce(lead_place - place, 8))) AS n FROM (
+    SELECT *, lead(place) OVER (PARTITION BY row_no ORDER BY place) AS lead_place FROM again
+  ) GROUP BY row_no
+), raw_lines AS (
+  SELECT row_no, unnest(lines) AS line FROM w
+), held_lines AS (
+  SELECT row_no, line FROM raw_lines WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')
+), dup AS (
+  SELECT row_no, count(*) - count(DISTINCT line) AS n FROM held_lines GROUP BY row_no
+), normal AS (
+  SELECT DISTINCT row_no, trim(regexp_replace(regexp_replace(lower(line), '[\\x20\\x09-\\x0D]+', ' ', 'g'), '[0-9]+', '0', 'g')) AS line FROM held_lines
+), texts AS (
+  SELECT n.line, d.source, d.text, d.row_no FROM normal n JOIN d USING (row_no)
+), hosts AS (
+  SELECT source, count(DISTINCT text) AS texts FROM texts GROUP BY source
+), frequent AS (
+  SELECT t.source, t.line FROM texts t JOIN hosts h ON t.source IS NOT DISTINCT FROM h.source
+  GROUP BY t.source, t.line, h.texts HAVING count(DISTINCT t.text) > 20 AND count(DISTINCT t.text) > h.texts * 0.1::DOUBLE
+), depth AS (
+  SELECT t.row_no, sum(length(t.line)) AS chars, coalesce(sum(length(t.line)) FILTER (WHERE f.line IS NOT NULL), 0) AS lost
+  FROM texts t LEFT JOIN frequent f ON t.source IS NOT DISTINCT FROM f.source AND t.line = f.line GROUP BY t.row_no
+), figures AS (
+  SELECT d.doc_id, CAST(len(w.words) AS BIGINT) AS n_words,
+         CAST(length(regexp_replace(d.text, '[\\x20\\x09-\\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+         CAST(length(d.text) - length(regexp_replace(d.text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+         CAST(coalesce(dup.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words,
+         CAST(coalesce(x.chars, 0) AS BIGINT) AS chars, CAST(coalesce(x.chars - x.lost, 0) AS BIGINT) AS chars_left
+  FROM d JOIN w USING (row_no) LEFT JOIN dup USING (row_no) LEFT JOIN repeated r USING (row_no) LEFT JOIN depth x USING (row_no)
+), verdict AS (
+  SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM figures
+)
+SELECT *, NOT base_failed AND chars_left >= chars * 0.5::DOUBLE AS kept FROM verdict
+"""
+
+
 def oracle_sql() -> dict:
-    return {"op1_mix_sources": OP1}
+    return {"op1_mix_sources": OP1, "op4_quality_rules": OP4}
