@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality_rules, sharding
+from . import mixing, near_dedup, quality_rules, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,8 +29,12 @@ def op8_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharded.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.link(_table(spark, sf_dir, "documents").select("doc_id", "text"), k=2, percent=80)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_mix_sources, op4_quality_rules, op8_shard)}
+    return {f.__name__: f for f in (op1_mix_sources, op4_quality_rules, op8_shard, op10_near_dedup)}
 
 
 OP1 = """
