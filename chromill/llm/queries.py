@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, near_dedup, pii, quality_rules, sharding
+from . import chat, mixing, near_dedup, pii, quality_rules, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,11 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(pii.joined(F.col("base")), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"))
 
 
+def op7_chat_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    formatted = chat.format_chats(_table(spark, sf_dir, "conversations"))
+    return formatted.select("conv_id", "part", "n_turns", "n_copies", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
+
+
 def op8_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     docs = docs.withColumn("text_crc32", F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8")))
@@ -43,7 +48,7 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_mix_sources, op4_quality_rules, op5_pii, op8_shard, op10_near_dedup)}
+    return {f.__name__: f for f in (op1_mix_sources, op4_quality_rules, op5_pii, op7_chat_snapshots, op8_shard, op10_near_dedup)}
 
 
 OP1 = """
@@ -124,5 +129,30 @@ SELECT *, NOT base_failed AND chars_left >= chars * 0.5::DOUBLE AS kept FROM ver
 """
 
 
+OP7 = """
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, role, text) - 1 AS place, count(*) OVER (PARTITION BY conv_id) AS n FROM t
+), coded AS (
+  SELECT *, md5(role || ' ' || md5(text)) AS code FROM placed
+), pre AS (
+  SELECT conv_id, place, n, string_agg(code, '') OVER (PARTITION BY conv_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS prefix FROM coded
+), proper AS (
+  SELECT DISTINCT prefix FROM pre WHERE place < n - 1
+), whole AS (
+  SELECT prefix, min(conv_id) AS conv_id, count(*) AS n_copies, any_value(n) AS n_turns FROM pre WHERE place = n - 1 GROUP BY prefix
+), kept AS (
+  SELECT * FROM whole WHERE prefix NOT IN (SELECT prefix FROM proper)
+), rendered AS (
+  SELECT p.conv_id, CAST(p.place // 1024 AS INTEGER) AS part,
+         string_agg('<|im_start|>' || role || chr(10) || regexp_replace(text, '<\\|(im_start|im_end)\\|>', '<|' || chr(8203) || '\\1|>', 'g') || '<|im_end|>' || chr(10), '' ORDER BY place) AS text
+  FROM placed p GROUP BY 1, 2
+)
+SELECT r.conv_id, r.part, CAST(k.n_turns AS BIGINT) AS n_turns, CAST(k.n_copies AS BIGINT) AS n_copies, CAST(length(r.text) AS BIGINT) AS n_chars, sha256(r.text) AS text_sha256
+FROM rendered r JOIN kept k ON r.conv_id IS NOT DISTINCT FROM k.conv_id
+"""
+
+
 def oracle_sql() -> dict:
-    return {"op1_mix_sources": OP1, "op4_quality_rules": OP4}
+    return {"op1_mix_sources": OP1, "op4_quality_rules": OP4, "op7_chat_snapshots": OP7}
