@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, near_dedup, pii, quality_rules, sharding
+from . import chat, decontam, mixing, near_dedup, pii, quality_rules, sharding, warc
+from .common import cut, remove, scratch
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +18,19 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planned.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "rate", "copies")
 
 
+def op2_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "warc")
+    try:
+        warc.write_deduplicated(_table(spark, sf_dir, "pages").select("page_id", "url", "html"), path)
+        return cut(warc.resolve(warc.read_archive(spark, path, payloads=False)))
+    finally:
+        remove(spark, path)
+
+
+def op3_template_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judge(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "chars", "chars_left")
@@ -48,7 +62,7 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_mix_sources, op4_quality_rules, op5_pii, op7_chat_snapshots, op8_shard, op10_near_dedup)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_warc_revisits, op3_template_leaks, op4_quality_rules, op5_pii, op7_chat_snapshots, op8_shard, op10_near_dedup)}
 
 
 OP1 = """
@@ -154,5 +168,19 @@ FROM rendered r JOIN kept k ON r.conv_id IS NOT DISTINCT FROM k.conv_id
 """
 
 
+OP2 = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS payload FROM pages
+), h AS (
+  SELECT page_id, CAST(octet_length(encode(payload)) AS BIGINT) AS payload_bytes, sha1(payload) AS hex FROM p
+), d AS (
+  SELECT *, array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(((CAST(('0x' || substr(hex, 5 * (i // 4) + 1, 5)) AS BIGINT) >> (15 - 5 * (i % 4))) & 31) + 1 AS BIGINT), 1) FOR i IN range(32)], '') AS payload_digest FROM h
+), f AS (
+  SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM d
+)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM f
+"""
+
+
 def oracle_sql() -> dict:
-    return {"op1_mix_sources": OP1, "op4_quality_rules": OP4, "op7_chat_snapshots": OP7}
+    return {"op1_mix_sources": OP1, "op2_warc_revisits": OP2, "op4_quality_rules": OP4, "op7_chat_snapshots": OP7}
