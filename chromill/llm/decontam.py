@@ -28,7 +28,6 @@ UNITS = frozenset("mm cm m km in inch inches ft feet yd yards mile miles mg g kg
 NUMBERS = frozenset("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion".split())
 
 _NUMBER = re.compile(r"[+-]?[$€£]?[0-9][0-9.,:/]*(?:st|nd|rd|th|k|m|%)?")
-_NAME = re.compile(r"[^\W\d_a-z][a-zà-öø-ÿ'’-]+|[^\W\d_]\.?(?=$)")
 _EDGES = re.compile(r"^[^\w$€£+-]+|[^\w%]+$")
 _LITERAL, _NUM, _CAPITAL, _UNIT, _SKIP = range(5)
 _SLOT = np.array([xxhash.xxh64_intdigest(x) for x in ("", "<NUM>", "<NAME>", "<UNIT>", "")], np.uint64)
@@ -38,7 +37,7 @@ def _token(raw: str) -> tuple[int, int, bool, bool]:
     """Kind, hash of the bare lower-case word, whether a sentence ends here, whether it can be a unit."""
     bare = _EDGES.sub("", raw)
     low = bare.lower()
-    kind = _SKIP if not bare else _NUM if _NUMBER.fullmatch(low) or low in NUMBERS else _CAPITAL if len(bare) > 1 and _NAME.fullmatch(bare) else _LITERAL
+    kind = _SKIP if not bare else _NUM if _NUMBER.fullmatch(low) or low in NUMBERS else _CAPITAL if bare[0].isupper() and bare[1:].islower() else _LITERAL
     return kind, xxhash.xxh64_intdigest(low), raw.rstrip("\"')]»”").endswith((".", "!", "?", ":")), low in UNITS
 
 
