@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, mixing, near_dedup, pii, quality_rules, sharding, warc
+from . import chat, decontam, mixing, near_dedup, pii, quality_model, quality_rules, sharding, token_count, warc
 from .common import cut, remove, scratch
 
+#: Where the query of token counts finds its vocabulary, unless it is told another place.
+VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -45,6 +48,10 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(pii.joined(F.col("base")), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"))
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op7_chat_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     formatted = chat.format_chats(_table(spark, sf_dir, "conversations"))
     return formatted.select("conv_id", "part", "n_turns", "n_copies", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
@@ -57,12 +64,16 @@ def op8_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharded.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str, model: str = VOCABULARY) -> DataFrame:
+    return token_count.count_tokens(_table(spark, sf_dir, "documents"), token_count.Vocabulary.from_model(model))
+
+
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.link(_table(spark, sf_dir, "documents").select("doc_id", "text"), k=2, percent=80)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_mix_sources, op2_warc_revisits, op3_template_leaks, op4_quality_rules, op5_pii, op7_chat_snapshots, op8_shard, op10_near_dedup)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_warc_revisits, op3_template_leaks, op4_quality_rules, op5_pii, op6_quality_classifier, op7_chat_snapshots, op8_shard, op9_token_counts, op10_near_dedup)}
 
 
 OP1 = """
