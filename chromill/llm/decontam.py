@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, fits, lookup
-from .tokens import split_words, windows
+from .tokens import slices, split_words, windows
 
 #: Tokens of a template window.
 WINDOW = 8
@@ -80,7 +80,7 @@ def _window_rows(lengths: list[int], wanted: np.ndarray | None, whole_if_short:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             template, word, slot, offsets = templates(batch.column("text"))
             ids = batch.column(id_column)
             literal = np.concatenate([[0], np.cumsum(~slot)])

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, fits, lookup
 from .components import components
-from .tokens import fold, shingle_sets
+from .tokens import fold, shingle_sets, slices
 
 #: Bands of ROWS minima each: two texts of similarity 0.8 share none with a chance of 4.7e-7.
 BANDS, ROWS = 48, 6
@@ -53,7 +53,7 @@ def _packed(minima: np.ndarray) -> np.ndarray:
 
 def _sketch(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             sizes, s1, s2, bands, sigs = [], [], [], [], []
             for s in shingle_sets(batch.column("text"), k):
                 sizes.append(len(s))
@@ -74,7 +74,7 @@ def _sketch(k: int):
 
 def _sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             sets = [s.tobytes() for s in shingle_sets(batch.column("text"), k)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.binary())], names=["node", "set"])
 

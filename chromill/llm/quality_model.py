@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
-from .tokens import split_words
+from .tokens import slices, split_words
 
 #: Weights of the scorer; features are hashed into so many places.
 PLACES = 1 << 18
@@ -71,7 +71,7 @@ def _read(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
 
 def _label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Votes of all labellers for each text: 1 good or toxic, -1 bad or clean, 0 no opinion."""
-    for batch in batches:
+    for batch in slices(batches):
         kinds, _, hashed, offsets = _read(batch.column("text"))
         quality, toxic = [], []
         lines = pc.split_pattern(pc.fill_null(batch.column("text"), "").cast(pa.large_string()), "\n")
@@ -138,7 +138,7 @@ def _present(features: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
 
 
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         _, features, _, offsets = _read(batch.column("text"))
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(_present(features, offsets), pa.list_(pa.int32()))], names=["doc_id", "places"])
 
@@ -209,7 +209,7 @@ def score(docs: DataFrame, labels: DataFrame | None = None, train_rows: int = TR
     packed = {n: w.astype(np.float32) for n, w in weights.items()}
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             _, features, _, offsets = _read(batch.column("text"))
             places = _present(features, offsets)
             out = [pa.array([1 / (1 + math.exp(-max(-30.0, min(30.0, float(w[p].sum(dtype=np.float64) + w[PLACES]))))) for p in places], pa.float64()) for w in (packed["quality"], packed["toxic"])]

@@ -13,6 +13,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .tokens import slices
+
 #: The mark that stands for a space.
 SPACE = "▁"
 #: Below the lowest score by so much scores a character that no piece covers.
@@ -162,7 +164,7 @@ def count_tokens(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
         counter = _COUNTERS.get(vocabulary.key)
         if counter is None:
             counter = _COUNTERS[vocabulary.key] = Counter(vocabulary)
-        for batch in batches:
+        for batch in slices(batches):
             tokens, score = counter.count(batch.column("text"), vocabulary.space_prefix)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(tokens, pa.int64()), pa.array(score, pa.float64())], names=["doc_id", "n_tokens", "score"])
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -11,6 +13,22 @@ _EMPTY = xxhash.xxh64_intdigest(b"")
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
+#: Bytes of text that are taken apart at once; what is made of them takes some twenty times as much memory.
+SLICE_BYTES = 8 << 20
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
+    """The rows of batches in order, in batches of about SLICE_BYTES of text, or of one longer text."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            before = ends[at - 1] if at else 0
+            to = max(at + 1, int(np.searchsorted(ends, before + SLICE_BYTES, side="right")))
+            yield batch.slice(at, to - at)
+            at = to
+
+
 def split_words(texts: pa.Array, lower: bool) -> tuple[pa.DictionaryArray, np.ndarray]:
     """The words of all texts as one dictionary-encoded array, empty strings included, and each text's offsets into it."""
     texts = pc.fill_null(texts, "").cast(pa.large_string())
