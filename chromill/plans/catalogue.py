@@ -1,11 +1,15 @@
-"""The query catalogue: one entry for each operator family, with its SQL."""
+"""The query catalogue: one entry for each operator family, with its SQL where SQL can say it."""
 
 from __future__ import annotations
 
+from . import colour
+
+PARTS = (colour,)
+
 
 def queries() -> dict:
-    return {}
+    return {q.__name__: q for part in PARTS for q in part.QUERIES}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {name: sql for part in PARTS for name, sql in part.SQL.items()}
