@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import colour
+from . import colour, combinations, scrape, stats
 
-PARTS = (colour,)
+PARTS = (colour, scrape, stats, combinations)
 
 
 def queries() -> dict:
