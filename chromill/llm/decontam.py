@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, fits, lookup
-from .tokens import slices, split_words, windows
+from .tokens import remembered, slices, split_words, windows
 
 #: Tokens of a template window.
 WINDOW = 8
@@ -41,6 +41,9 @@ def _token(raw: str) -> tuple[int, int, bool, bool]:
     return kind, xxhash.xxh64_intdigest(low), raw.rstrip("\"')]»”").endswith((".", "!", "?", ":")), low in UNITS
 
 
+_SEEN: dict[str, tuple[int, int, bool, bool]] = {}
+
+
 def templates(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of all texts' tokens in order: template hash, hash of the word itself, whether it is a slot; and each text's offsets.
 
@@ -48,7 +51,7 @@ def templates(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     sentence a name; tokens without a letter or digit are left out. All else stays as a lower-case word.
     """
     words, offsets = split_words(texts, lower=False)
-    table = [_token(w) for w in words.dictionary.to_pylist()]
+    table = remembered(words, _SEEN, _token)
     if not table:
         empty = np.empty(0, np.uint64)
         return empty, empty, np.empty(0, bool), np.zeros(len(texts) + 1, np.int64)
