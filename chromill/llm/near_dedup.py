@@ -75,8 +75,8 @@ def _sketch(k: int):
 def _sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            sets = [s.tobytes() for s in shingle_sets(batch.column("text"), k)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.binary())], names=["node", "set"])
+            sets = [s.view(np.int64) for s in shingle_sets(batch.column("text"), k)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.list_(pa.int64()))], names=["node", "set"])
 
     return run
 
@@ -89,14 +89,10 @@ def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def _confirm(percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = zip(batch.column("set_u").to_pylist(), batch.column("set_v").to_pylist(), strict=True)
-            held = pa.array([_linked(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), percent) for a, b in sets], pa.bool_())
-            yield batch.select(["u", "v"]).filter(held)
-
-    return run
+def _confirmed(percent: int) -> F.Column:
+    """_linked for two columns of sets, in the JVM, so that no Arrow batch holds many pairs of sets."""
+    both = F.size(F.array_intersect("set_u", "set_v"))
+    return both * 100 >= (F.size("set_u") + F.size("set_v") - both) * percent
 
 
 def _least_estimate(percent: int) -> float:
@@ -150,7 +146,7 @@ def _span(percent: int):
                 continue
             for x in (a, b):
                 if x not in sets:
-                    sets[x] = np.frombuffer(block["set"].iloc[x], np.uint64)
+                    sets[x] = np.asarray(block["set"].iloc[x], np.int64).view(np.uint64)
             if _linked(sets[a], sets[b], percent):
                 links.append((int(node[a]), int(node[b])))
                 root[max(p, q)] = min(p, q)
@@ -161,7 +157,7 @@ def _span(percent: int):
 
 def _shingle_sets_of(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     wanted = cut(ids.select(F.col("node").alias("doc_id")).distinct())
-    return lookup(docs, wanted, "doc_id", "left_semi", 2_000_000).mapInArrow(_sets(k), "node long, set binary")
+    return lookup(docs, wanted, "doc_id", "left_semi", 2_000_000).mapInArrow(_sets(k), "node long, set array<long>")
 
 
 def link(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -195,7 +191,7 @@ def link(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     likely = cut(both.where(_unequal("sig_u", "sig_v") <= _most_unequal(percent)).select("u", "v"))
     sets = _shingle_sets_of(docs, likely.select(F.col("u").alias("node")).unionByName(likely.select(F.col("v").alias("node"))), k)
     checked = likely.join(sets.toDF("u", "set_u"), "u").join(sets.toDF("v", "set_v"), "v")
-    links = cut(checked.mapInArrow(_confirm(percent), "u long, v long"))
+    links = cut(checked.where(_confirmed(percent)).select("u", "v"))
 
     # rows that share an id hold their classes together
     shared_id = named.groupBy("doc_id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo != hi")
