@@ -15,12 +15,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
-from .tokens import slices, split_words
+from .tokens import remembered, slices, split_words
 
 #: Weights of the scorer; features are hashed into so many places.
 PLACES = 1 << 18
 #: Documents that the scorer is trained on, expected; drawn by a hash of doc_id. All documents are labelled and scored.
-TRAIN_ROWS = 8_000
+TRAIN_ROWS = 4_000
 
 # Words of abuse, by kind. Each list is one labeller.
 ABUSE = {
@@ -44,54 +44,92 @@ def _place(kind: str, value: str) -> int:
     return xxhash.xxh64_intdigest(f"{kind}:{value}") % PLACES
 
 
-def _word(raw: str) -> tuple[tuple[bool, ...], tuple[int, ...], int, int]:
-    """What the labellers need of one distinct word, its hashed features (word, shape, stems), its length and hash."""
-    bare = " ".join(_WORD.findall(raw)).lower()
-    kinds = [sum(c in "#*$%&|<>" for c in raw) >= 1, len(raw) > 1 and raw.isupper(), raw.endswith("!!"), raw == "|"]
-    abuse = {_LEXICON[b] for b in bare.split() if b in _LEXICON}
-    shape = re.sub(r"(.)\1+", r"\1", "".join("A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else c for c in raw[:64]))
+_SPLIT = re.compile(r"(.)\1+")
+_SEEN: dict[str, tuple] = {}
+
+
+def _word(raw: str) -> tuple[int, tuple[int, ...], int, int]:
+    """What the labellers need of one distinct word: kinds as bits; hashed features of the word and its stems, and of its shape; a hash."""
+    if raw.isalpha():
+        bare, kinds = raw.lower(), 2 if len(raw) > 1 and raw.isupper() else 0
+        shape = "a" if raw.islower() else "A" if raw.isupper() else "Aa" if raw[1:].islower() else "AaA"
+    else:
+        bare = " ".join(_WORD.findall(raw)).lower()
+        kinds = sum(1 << i for i, yes in enumerate((any(c in "#*$%&|<>" for c in raw), len(raw) > 1 and raw.isupper(), raw.endswith("!!"), raw == "|")) if yes)
+        shape = _SPLIT.sub(r"\1", "".join("A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else c for c in raw[:64]))
+    for b in bare.split():
+        if b in _LEXICON:
+            kinds |= 1 << (4 + _LEXICON[b])
     word = _place("w", bare)
-    features = (word, _place("s", shape), *[_place("p", bare[:n]) if len(bare) >= n else word for n in STEMS])
-    return (*kinds, *[i in abuse for i in range(len(ABUSE))]), features, len(raw), xxhash.xxh64_intdigest(raw.lower())
+    return kinds, (word, *[_place("p", bare[:n]) if len(bare) >= n else word for n in STEMS]), _place("s", shape), xxhash.xxh64_intdigest(raw.lower())
+
+
+@dataclass
+class _Slice:
+    """The words of some texts: of each distinct word its kinds, features, shape and hash; each word's code and text; texts' sizes."""
+
+    kinds: np.ndarray
+    features: np.ndarray
+    shape: np.ndarray
+    hashed: np.ndarray
+    codes: np.ndarray
+    owner: np.ndarray
+    size: np.ndarray
+
+    def distinct(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct (text, value) pairs of values below 2**32, one a word, as two arrays in order of the text."""
+        pairs = np.unique(self.owner * (1 << 32) + values)
+        return pairs >> 32, pairs & ((1 << 32) - 1)
 
 
-def _read(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of all words of all texts: kinds, features and hashes; and each text's offsets into them."""
+def _read(texts: pa.Array) -> _Slice:
     words, offsets = split_words(texts, lower=False)
-    table = [_word(w) for w in words.dictionary.to_pylist()]
-    codes = words.indices.to_numpy()
+    table = remembered(words, _SEEN, _word)
+    codes, size = words.indices.to_numpy().astype(np.int64), np.diff(offsets).astype(np.int64)
+    owner = np.repeat(np.arange(len(texts), dtype=np.int64), size)
     if not table:
-        return np.zeros((0, _KINDS), bool), np.empty((0, 2 + len(STEMS)), np.int32), np.empty(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
-    kinds, features, size, hashed = (np.array(c) for c in zip(*table, strict=True))
-    real = size[codes] > 0
-    offsets = np.concatenate([[0], np.cumsum(real)])[offsets]
-    codes = codes[real]
-    return kinds[codes], features.astype(np.int32)[codes], hashed.astype(np.uint64)[codes], offsets
+        none = np.empty(0, np.int64)
+        return _Slice(none, np.empty((0, 1 + len(STEMS)), np.int64), none, none.astype(np.uint64), none, none, np.zeros(len(texts), np.int64))
+    kinds, features, shape, hashed = (np.array(c) for c in zip(*table, strict=True))
+    real = pc.not_equal(pc.binary_length(words.dictionary), 0).to_numpy(zero_copy_only=False)[codes]
+    return _Slice(kinds, features, shape, hashed.astype(np.uint64), codes[real], owner[real], np.bincount(owner[real], minlength=len(texts)))
 
 
 def _label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Votes of all labellers for each text: 1 good or toxic, -1 bad or clean, 0 no opinion."""
+    """Votes of all labellers but the annotator for each text: 1 good or toxic, -1 bad or clean, 0 no opinion."""
     for batch in slices(batches):
-        kinds, _, hashed, offsets = _read(batch.column("text"))
-        quality, toxic = [], []
+        x, rows = _read(batch.column("text")), batch.num_rows
+        per = lambda owner: np.bincount(owner, minlength=rows)
+        n = np.maximum(x.size, 1)
+        kinds = x.kinds[x.codes]
+        share = [per(x.owner[(kinds >> i) & 1 == 1]) / n for i in range(4)]
+        hits = np.array([per(x.owner[(kinds >> i) & 1 == 1]) for i in range(4, _KINDS)])
+        # four words in a row that occur before in the same text
+        h, own = x.hashed[x.codes], x.owner
+        four = h[:-3] * np.uint64(3) + h[1:-2] * np.uint64(5) + h[2:-1] * np.uint64(7) + h[3:] * np.uint64(11) if len(h) > 3 else h[:0]
+        whole = own[:-3] == own[3:] if len(h) > 3 else np.empty(0, bool)
+        of = own[: len(four)][whole]
+        _, first = np.unique(four[whole] ^ (of.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), return_index=True)
+        again = 1 - per(of[first]) / np.maximum(per(of), 1)
+        start = np.cumsum(x.size) - x.size
+        early = np.arange(len(own)) - start[own] < 200
+        variety = per(np.unique(own[early] * (1 << 32) + x.codes[early]) >> 32) / np.minimum(n, 200)
         lines = pc.split_pattern(pc.fill_null(batch.column("text"), "").cast(pa.large_string()), "\n")
-        for a, b, own in zip(offsets[:-1], offsets[1:], lines, strict=True):
-            n = int(b - a)
-            share = kinds[a:b].sum(axis=0) / max(n, 1)
-            h = hashed[a:b]
-            four = h[:-3] * np.uint64(3) + h[1:-2] * np.uint64(5) + h[2:-1] * np.uint64(7) + h[3:] * np.uint64(11) if n > 3 else h
-            again = 1 - len(np.unique(four)) / max(len(four), 1)
-            filled = [s for x in own if (s := x.as_py().strip())]
-            unended = sum(not x.endswith((".", "!", "?", '"', ")", ":")) for x in filled) / max(len(filled), 1)
-            variety = len(np.unique(h[:200])) / max(min(n, 200), 1)
-            # a labeller of one defect has no opinion of documents without it
-            found = [(share[0], 0.3), (share[1], 0.5), (share[2], 0.3), (again, 0.3), (float(n < 3), 1), (unended, 0.9), (1 - variety, 0.8), (share[3], 0.2)]
-            plain = all(value <= limit / 3 for value, limit in found[:4]) and share[3] <= 0.05 and n >= 3
-            quality.append([*[-1 if value >= limit else 0 for value, limit in found], 1 if plain else 0])
-            hits = kinds[a:b, 4:].sum(axis=0)
-            toxic.append([*[1 if x else 0 for x in hits], 1 if hits.sum() > 1 else 0, 1 if hits.sum() > 0.005 * n else 0, 0 if hits.any() else -1])
+        line = pc.utf8_trim_whitespace(lines.flatten())
+        of_line = np.repeat(np.arange(rows), np.diff(lines.offsets.to_numpy()))
+        filled = pc.not_equal(line, "").to_numpy(zero_copy_only=False)
+        unended = filled & ~pc.match_substring_regex(line, r"[.!?\":)]$").to_numpy(zero_copy_only=False)
+        loose = per(of_line[unended]) / np.maximum(per(of_line[filled]), 1)
+        # a labeller of one defect has no opinion of documents without it
+        found = [(share[0], 0.3), (share[1], 0.5), (share[2], 0.3), (again, 0.3), ((x.size < 3).astype(float), 1), (loose, 0.9), (1 - variety, 0.8), (share[3], 0.2)]
+        plain = (share[3] <= 0.05) & (x.size >= 3)
+        for value, limit in found[:4]:
+            plain &= value <= limit / 3
+        quality = np.stack([*[np.where(value >= limit, -1, 0) for value, limit in found], plain.astype(int)], axis=1)
+        several = hits.sum(axis=0)
+        toxic = np.stack([*(hits > 0).astype(int), (several > 1).astype(int), (several > 0.005 * n).astype(int), -(several == 0).astype(int)], axis=1)
         longs = pa.list_(pa.int32())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(quality, longs), pa.array(toxic, longs)], names=["doc_id", "quality", "toxic"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(quality.tolist(), longs), pa.array(toxic.tolist(), longs)], names=["doc_id", "quality", "toxic"])
 
 
 #: Posteriors that an annotator's vote stands for, and those that EM starts from.
@@ -133,30 +171,31 @@ def fit_label_model(counts: dict[tuple[int, ...], int], rounds: int = 50, smooth
     return LabelModel(on_true, on_false, prior, post)
 
 
-def _present(features: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
-    return [np.unique(features[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-
-
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Hashed features of each text: those of its distinct words, and its distinct shapes."""
     for batch in slices(batches):
-        _, features, _, offsets = _read(batch.column("text"))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(_present(features, offsets), pa.list_(pa.int32()))], names=["doc_id", "places"])
+        x = _read(batch.column("text"))
+        owner, code = x.distinct(x.codes)
+        by_shape, shape = x.distinct(x.shape[x.codes])
+        ends, shape_ends = (np.searchsorted(o, np.arange(batch.num_rows + 1)) for o in (owner, by_shape))
+        rows = [np.concatenate([x.features[code[ends[i] : ends[i + 1]]].ravel(), shape[shape_ends[i] : shape_ends[i + 1]]]).astype(np.int32) for i in range(batch.num_rows)]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(rows, pa.list_(pa.int32()))], names=["doc_id", "places"])
 
 
-def train_scorer(rows: Sequence[np.ndarray], targets: np.ndarray, rounds: int = 40, rate: float = 0.1, sparse: float = 2e-4, batch: int = 128, seed: int = 5) -> np.ndarray:
+def train_scorer(rows: Sequence[np.ndarray], targets: np.ndarray, rounds: int = 40, rate: float = 0.05, sparse: float = 2e-4, batch: int = 128, seed: int = 5) -> np.ndarray:
     """Weights over hashed places, the bias last: logistic regression on soft targets by AdaGrad with an L1 step, which leaves noise at 0."""
     weights = np.zeros(PLACES + 1)
+    sizes_of = np.array([len(x) for x in rows])
     used, flat = np.unique(np.concatenate([*rows, np.empty(0, np.int32)]), return_inverse=True)
-    ends = np.concatenate([[0], np.cumsum([len(x) for x in rows])])
-    held = [np.append(flat[a:b], len(used)) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    flat, ends = flat.astype(np.int32), np.concatenate([[0], np.cumsum(sizes_of)])
     w, seen = np.zeros(len(used) + 1), np.full(len(used) + 1, 1e-8)
     draw = np.random.default_rng(seed)
     for _ in range(rounds):
         order = draw.permutation(len(rows))
         for at in range(0, len(order), batch):
             own = order[at : at + batch]
-            sizes = np.array([len(held[i]) for i in own])
-            places = np.concatenate([held[i] for i in own])
+            sizes = sizes_of[own] + 1
+            places = np.concatenate([part for i in own for part in (flat[ends[i] : ends[i + 1]], [len(used)])]).astype(np.int64)
             z = np.add.reduceat(w[places], np.concatenate([[0], np.cumsum(sizes)[:-1]]))
             miss = targets[own] - 1 / (1 + np.exp(-np.clip(z, -30, 30)))
             slope = np.bincount(places, np.repeat(miss, sizes) / len(own), len(w))
@@ -206,13 +245,17 @@ def score(docs: DataFrame, labels: DataFrame | None = None, train_rows: int = TR
     sample = chosen.mapInArrow(_featured, "doc_id long, places array<int>").join(drawn, "doc_id").orderBy("doc_id").toPandas()
     rows = [np.asarray(x, np.int32) for x in sample["places"]]
     weights = {n: train_scorer(rows, sample[n].to_numpy(float)) if len(rows) else np.zeros(PLACES + 1) for n in models}
-    packed = {n: w.astype(np.float32) for n, w in weights.items()}
+    packed = {n: w for n, w in weights.items()}
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            _, features, _, offsets = _read(batch.column("text"))
-            places = _present(features, offsets)
-            out = [pa.array([1 / (1 + math.exp(-max(-30.0, min(30.0, float(w[p].sum(dtype=np.float64) + w[PLACES]))))) for p in places], pa.float64()) for w in (packed["quality"], packed["toxic"])]
+            x = _read(batch.column("text"))
+            owner, code = x.distinct(x.codes)
+            by_shape, shape = x.distinct(x.shape[x.codes])
+            out = []
+            for w in (packed["quality"], packed["toxic"]):
+                z = np.bincount(owner, w[x.features].sum(axis=1)[code], batch.num_rows) + np.bincount(by_shape, w[shape], batch.num_rows) + w[PLACES]
+                out.append(pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))), pa.float64()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *out], names=["doc_id", "quality", "toxic"])
 
     out = docs.mapInArrow(scored, "doc_id long, quality double, toxic double")
