@@ -17,7 +17,11 @@ RANGES_PER_SHARD = 256
 SAMPLE = 65_536
 #: A range over so many times the mean is divided again.
 OVERFULL = 2.0
-ROUNDS = 3
+ROUNDS = 5
+#: Equal texts stay in one shard unless together they exceed this part of a shard's share.
+WHOLE = 0.05
+#: Digits of a key that come from the text.
+_TEXT = 16
 
 
 def _key() -> F.Column:
@@ -52,8 +56,8 @@ def _quantiles(sample: list[tuple[str, float]], n: int) -> list[str]:
     return sorted({keys[min(len(keys) - 1, i)] for i in np.searchsorted(ends, ends[-1] * np.arange(1, n) / n)})
 
 
-def splitters_for(rows: DataFrame, n_ranges: int, sample: int = SAMPLE, seed: int = 7) -> tuple[list[str], list[tuple[int, int, int, int]]]:
-    """Splitters of (shard_key, size) rows, and (range, bytes, rows, keys) of each range that has any.
+def splitters_for(rows: DataFrame, n_ranges: int, sample: int = SAMPLE, seed: int = 7) -> tuple[list[str], list[tuple]]:
+    """Splitters of (shard_key, size) rows, and (range, bytes, rows, several keys, the text if it is one) of each range that has any.
 
     The driver sees the sampled keys (sample of them expected, at any input size) and one row a range.
     """
@@ -61,26 +65,35 @@ def splitters_for(rows: DataFrame, n_ranges: int, sample: int = SAMPLE, seed: in
     if not total:
         return [], []
     splitters = _quantiles(_sampled(rows, max(1.0, total / sample), seed), n_ranges)
+    splitters = sorted({_start(key) for key in splitters})
+    text = F.substring("shard_key", 1, _TEXT)
     for again in range(ROUNDS + 1):
         ranged = rows.withColumn("shard_range", _range_of(splitters)("shard_key"))
-        stats = sorted(tuple(r) for r in ranged.groupBy("shard_range").agg(F.sum("size"), F.count("*"), F.min("shard_key") != F.max("shard_key")).collect())
+        low, high = F.min("shard_key").alias("low"), F.max("shard_key").alias("high")
+        stats = sorted(tuple(r) for r in ranged.groupBy("shard_range").agg(F.sum("size"), F.count("*"), low != high, F.when(F.min(text) == F.max(text), F.min(text))).collect())
         bound = OVERFULL * total / n_ranges
-        over = {r: b for r, b, _, divisible in stats if b > bound and divisible}
+        over = {r: (b, of) for r, b, _, divisible, of in stats if b > bound and divisible}
         if not over or again == ROUNDS:
             return splitters, stats
         inside = ranged.where(F.col("shard_range").isin(list(over)))
-        held = sum(over.values())
-        more: list[str] = []
+        more: set[str] = set()
         by_range: dict[int, list] = {}
-        for key, stands in _sampled(inside, max(1.0, held / sample), seed + again + 1):
+        for key, stands in _sampled(inside, max(1.0, sum(b for b, _ in over.values()) / sample), seed + again + 1):
             by_range.setdefault(bisect.bisect_right(splitters, key), []).append((key, stands))
         for r, found in by_range.items():
-            more += _quantiles(found, 2 + int(2 * over[r] / bound))
-        if not set(more) - set(splitters):
+            cuts = _quantiles(found, 2 + int(2 * over[r][0] / bound))
+            # a range of one text is cut by doc_id; from others, each sampled text is first set apart as a whole
+            more.update(cuts if over[r][1] else (edge for key in cuts for edge in (_start(key), _start(key, 1))))
+        if not more - set(splitters):
             return splitters, stats
         splitters = sorted({*splitters, *more})
 
 
+def _start(key: str, later: int = 0) -> str:
+    """The first key of this key's text, or of the hash that many places on."""
+    return f"{min(int(key[:_TEXT], 16) + later, 16**_TEXT - 1):0{_TEXT}X}" + "0" * (len(key) - _TEXT)
+
+
 def _segments(stats: list[tuple], n_shards: int) -> list[tuple[int, int, int, int, int]]:
     """(range, first row, last row, shard, slot less row): ranges in order fill the shards with near equal bytes.
 
@@ -88,11 +101,21 @@ def _segments(stats: list[tuple], n_shards: int) -> list[tuple[int, int, int, in
     times over, which no splitter divides, is cut by rows, all of one size.
     """
     total, at, slots, out = sum(s[1] for s in stats), 0, [0] * n_shards, []
-    for r, held, rows, divisible in stats:
+    of_text: dict[str, int] = {}
+    for _, held, _, _, of in stats:
+        if of is not None:
+            of_text[of] = of_text.get(of, 0) + held
+    placed: dict[str, int] = {}
+    for r, held, rows, divisible, of in stats:
         row = 0
+        whole = of is not None and of_text[of] * n_shards <= total * WHOLE
+        if whole:
+            placed.setdefault(of, min(n_shards - 1, int((at + of_text[of] / 2) * n_shards // total)))
         while row < rows:
             each = held / rows
-            if divisible or held * n_shards * 8 <= total:
+            if whole:
+                shard, until = placed[of], rows
+            elif divisible or held * n_shards * 8 <= total:
                 shard, until = min(n_shards - 1, int((at + held / 2) * n_shards // total)), rows
             else:
                 shard = min(n_shards - 1, int((at + each * (row + 0.5)) * n_shards // total))
@@ -110,8 +133,8 @@ def shard(docs: DataFrame, n_shards: int = 16, ranges_per_shard: int = RANGES_PE
 
     Keys are drawn with chances by size, their weighted quantiles cut the key order into
     ranges, ranges that turn out overfull are sampled and divided again, and ranges fill the shards in
-    order. The order is by text hash, then doc_id: equal texts lie side by side, in one shard unless a
-    boundary falls inside the group. Rows alike in text and doc_id share a key; if one such key
+    order. The order is by text hash, then doc_id; ranges begin with a text, so equal texts share a shard
+    unless together they exceed WHOLE of a shard, when ranges cut them by doc_id. Rows alike in text and doc_id share a key; if one such key
     overfills its range it is divided by row. A null or empty text has size 1; a null doc_id sorts as 0.
     An empty table gives no rows. Columns of docs named like the added ones are replaced.
 
