@@ -172,30 +172,26 @@ def fit_label_model(counts: dict[tuple[int, ...], int], rounds: int = 50, smooth
 
 
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Hashed features of each text: those of its distinct words, and its distinct shapes."""
+    """Hashed features of each text, packed as 32-bit numbers: those of its distinct words, and its distinct shapes."""
     for batch in slices(batches):
         x = _read(batch.column("text"))
         owner, code = x.distinct(x.codes)
         by_shape, shape = x.distinct(x.shape[x.codes])
         ends, shape_ends = (np.searchsorted(o, np.arange(batch.num_rows + 1)) for o in (owner, by_shape))
-        rows = [np.concatenate([x.features[code[ends[i] : ends[i + 1]]].ravel(), shape[shape_ends[i] : shape_ends[i + 1]]]).astype(np.int32) for i in range(batch.num_rows)]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(rows, pa.list_(pa.int32()))], names=["doc_id", "places"])
+        rows = [np.concatenate([x.features[code[ends[i] : ends[i + 1]]].ravel(), shape[shape_ends[i] : shape_ends[i + 1]]]).astype(np.int32).tobytes() for i in range(batch.num_rows)]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(rows, pa.binary())], names=["doc_id", "places"])
 
 
 def train_scorer(rows: Sequence[np.ndarray], targets: np.ndarray, rounds: int = 40, rate: float = 0.05, sparse: float = 2e-4, batch: int = 128, seed: int = 5) -> np.ndarray:
     """Weights over hashed places, the bias last: logistic regression on soft targets by AdaGrad with an L1 step, which leaves noise at 0."""
-    weights = np.zeros(PLACES + 1)
-    sizes_of = np.array([len(x) for x in rows])
-    used, flat = np.unique(np.concatenate([*rows, np.empty(0, np.int32)]), return_inverse=True)
-    flat, ends = flat.astype(np.int32), np.concatenate([[0], np.cumsum(sizes_of)])
-    w, seen = np.zeros(len(used) + 1), np.full(len(used) + 1, 1e-8)
+    w, seen = np.zeros(PLACES + 1), np.full(PLACES + 1, 1e-8)
     draw = np.random.default_rng(seed)
     for _ in range(rounds):
         order = draw.permutation(len(rows))
         for at in range(0, len(order), batch):
             own = order[at : at + batch]
-            sizes = sizes_of[own] + 1
-            places = np.concatenate([part for i in own for part in (flat[ends[i] : ends[i + 1]], [len(used)])]).astype(np.int64)
+            sizes = np.array([len(rows[i]) + 1 for i in own])
+            places = np.concatenate([part for i in own for part in (rows[i], [PLACES])]).astype(np.int64)
             z = np.add.reduceat(w[places], np.concatenate([[0], np.cumsum(sizes)[:-1]]))
             miss = targets[own] - 1 / (1 + np.exp(-np.clip(z, -30, 30)))
             slope = np.bincount(places, np.repeat(miss, sizes) / len(own), len(w))
@@ -203,8 +199,7 @@ def train_scorer(rows: Sequence[np.ndarray], targets: np.ndarray, rounds: int =
             step = rate / np.sqrt(seen)
             w += step * slope
             w[:-1] = np.sign(w[:-1]) * np.maximum(np.abs(w[:-1]) - step[:-1] * sparse, 0) * (seen[:-1] > 1e-7)
-    weights[used], weights[PLACES] = w[:-1], w[-1]
-    return weights
+    return w
 
 
 def score(docs: DataFrame, labels: DataFrame | None = None, train_rows: int = TRAIN_ROWS, least_quality: float = 0.5, most_toxic: float = 0.5) -> DataFrame:
@@ -242,9 +237,9 @@ def score(docs: DataFrame, labels: DataFrame | None = None, train_rows: int = TR
     draw = F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(1 << 30)) < F.lit(int((1 << 30) * share))
     drawn = cut(pool.where(draw).select("doc_id", posterior("quality").alias("quality"), posterior("toxic").alias("toxic")).dropDuplicates(["doc_id"]))
     chosen = docs.where(draw).join(F.broadcast(drawn.select("doc_id")), "doc_id", "left_semi")  # about train_rows ids
-    sample = chosen.mapInArrow(_featured, "doc_id long, places array<int>").join(drawn, "doc_id").orderBy("doc_id").toPandas()
-    rows = [np.asarray(x, np.int32) for x in sample["places"]]
-    weights = {n: train_scorer(rows, sample[n].to_numpy(float)) if len(rows) else np.zeros(PLACES + 1) for n in models}
+    sample = chosen.mapInArrow(_featured, "doc_id long, places binary").join(drawn, "doc_id").orderBy("doc_id").collect()
+    rows = [np.frombuffer(r["places"], np.int32) for r in sample]
+    weights = {n: train_scorer(rows, np.array([r[n] for r in sample], float)) if rows else np.zeros(PLACES + 1) for n in models}
     packed = {n: w for n, w in weights.items()}
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
