@@ -93,15 +93,15 @@ def test_leaks_equal_word_overlap_on_the_tables(spark):
 
 def test_boilerplate_depletes(spark):
     line = "Subscribe to our newsletter today and never miss an offer again, dear reader number 7."
-    own = lambda i: " ".join(f"w{i}_{j}" for j in range(30))
-    rows = [(i, f"{line}\n{own(i)}", "h") for i in range(40)] + [(100, f"{line.replace('7', '8')}\n{line}\nshort and own words", "h"), (101, f"{line}\n{line}\nx", "other")]
+    own = lambda i: " ".join(chr(97 + i % 26) + chr(97 + i // 26) + chr(97 + j % 26) + chr(97 + j // 26) for j in range(30))
+    rows = [(i, f"{line}\n{own(i)}", "h") for i in range(40)] + [(100, f"{line.replace('7', '8')}\nshort own and other words of a page", "h"), (101, f"{line}\nand a few more words of it", "other")]
     got = {r.doc_id: r for r in quality_rules.judge(spark.createDataFrame(rows, DOCS + ", source string")).collect()}
     assert all(got[i].kept for i in range(40)) and not got[100].kept and not got[100].base_failed and got[101].kept
     kept = quality_rules.keep(spark.createDataFrame(rows, DOCS + ", source string"))
     assert kept.columns == ["doc_id", "text", "source"] and kept.count() == 41
     hashes = spark.createDataFrame([("h",)], "of_host string").select("of_host", F.xxhash64(quality_rules._normal(F.lit(line))).alias("of_line"))
     stripped = {r.doc_id: r.text for r in quality_rules.strip_lines(spark.createDataFrame(rows, DOCS + ", source string"), hashes).collect()}
-    assert stripped[3] == own(3) and stripped[100] == "short and own words" and stripped[101].count(line) == 2
+    assert stripped[3] == own(3) and stripped[100] == "short own and other words of a page" and stripped[101].count(line) == 1
 
 
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
