@@ -22,6 +22,9 @@ PLACES = 1 << 18
 #: Documents that the scorer is trained on, expected; drawn by a hash of doc_id. All documents are labelled and scored.
 TRAIN_ROWS = 4_000
 
+#: Longer slices, as making the table of distinct words is what costs most and grows less than the words.
+SLICES = 4
+
 # Words of abuse, by kind. Each list is one labeller.
 ABUSE = {
     "mind": "idiot idiots idiotic moron morons moronic stupid stupidity dumb imbecile fool fools dimwit halfwit brainless retarded".split(),
@@ -97,7 +100,7 @@ def _read(texts: pa.Array) -> _Slice:
 
 def _label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Votes of all labellers but the annotator for each text: 1 good or toxic, -1 bad or clean, 0 no opinion."""
-    for batch in slices(batches):
+    for batch in slices(batches, times=SLICES):
         x, rows = _read(batch.column("text")), batch.num_rows
         per = lambda owner: np.bincount(owner, minlength=rows)
         n = np.maximum(x.size, 1)
@@ -173,7 +176,7 @@ def fit_label_model(counts: dict[tuple[int, ...], int], rounds: int = 50, smooth
 
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Hashed features of each text, packed as 32-bit numbers: those of its distinct words, and its distinct shapes."""
-    for batch in slices(batches):
+    for batch in slices(batches, times=SLICES):
         x = _read(batch.column("text"))
         owner, code = x.distinct(x.codes)
         by_shape, shape = x.distinct(x.shape[x.codes])
@@ -243,7 +246,7 @@ def score(docs: DataFrame, labels: DataFrame | None = None, train_rows: int = TR
     packed = {n: w for n, w in weights.items()}
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, times=SLICES):
             x = _read(batch.column("text"))
             owner, code = x.distinct(x.codes)
             by_shape, shape = x.distinct(x.shape[x.codes])

@@ -17,14 +17,14 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 SLICE_BYTES = 2 << 20
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
-    """The rows of batches in order, in batches of about SLICE_BYTES of text, or of one longer text."""
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", times: int = 1) -> Iterator[pa.RecordBatch]:
+    """The rows of batches in order, in batches of about times SLICE_BYTES of text, or of one longer text."""
     for batch in batches:
         ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
         at = 0
         while at < batch.num_rows:
             before = ends[at - 1] if at else 0
-            to = max(at + 1, int(np.searchsorted(ends, before + SLICE_BYTES, side="right")))
+            to = max(at + 1, int(np.searchsorted(ends, before + SLICE_BYTES * times, side="right")))
             # copied out, as some string kernels misread arrays that begin inside a buffer
             yield batch.take(pa.array(np.arange(at, to)))
             at = to
