@@ -73,11 +73,11 @@ def templates(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     return np.where(slot, _SLOT[kind], word), word, slot, offsets
 
 
-MATCHES = "id long, window long, place int, length int, slots array<long>"
+MATCHES = "id long, text_key long, window long, place int, length int, slots array<long>"
 
 
 def _window_rows(lengths: list[int], wanted: np.ndarray | None, whole_if_short: bool, id_column: str):
-    """Rows (id, window, place, length, slots) of all windows, or of those whose hash is wanted.
+    """Rows (id, text_key, window, place, length, slots) of all windows, or of those whose hash is wanted.
 
     whole_if_short: a text of fewer than WINDOW tokens gives itself as one window, whatever its length.
     """
@@ -85,7 +85,7 @@ def _window_rows(lengths: list[int], wanted: np.ndarray | None, whole_if_short:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             template, word, slot, offsets = templates(batch.column("text"))
-            ids = batch.column(id_column)
+            ids, keys = batch.column(id_column), batch.column("text_key")
             literal = np.concatenate([[0], np.cumsum(~slot)])
             owner = np.repeat(np.arange(len(ids)), np.diff(offsets))
             size = np.diff(offsets)
@@ -105,13 +105,82 @@ def _window_rows(lengths: list[int], wanted: np.ndarray | None, whole_if_short:
                     own = at[part : part + 50_000]
                     slots = [word[a : a + k][slot[a : a + k]].view(np.int64) for a in own]
                     yield pa.RecordBatch.from_arrays(
-                        [ids.take(pa.array(owner[own])), pa.array(hashed[own].view(np.int64)), pa.array((own - offsets[owner[own]]).astype(np.int32)), pa.array(np.full(len(own), k, np.int32)), pa.array(slots, pa.list_(pa.int64()))],
-                        names=["id", "window", "place", "length", "slots"],
+                        [ids.take(pa.array(owner[own])), keys.take(pa.array(owner[own])), pa.array(hashed[own].view(np.int64)), pa.array((own - offsets[owner[own]]).astype(np.int32)), pa.array(np.full(len(own), k, np.int32)), pa.array(slots, pa.list_(pa.int64()))],
+                        names=["id", "text_key", "window", "place", "length", "slots"],
                     )
 
     return run
 
 
+def _stretches(slots: list[tuple[list[int], list[int]]]) -> list[tuple[int, int]]:
+    """The maximal stretches [from, to) of windows, each given as its slot values in item and document, that map one to one."""
+    out, start = [], 0
+    there, back = {}, {}  # value: [other value, windows of the stretch that hold it]
+
+    def count(at: int, by: int) -> None:
+        for side, (a, b) in ((there, slots[at]), (back, slots[at][::-1])):
+            for x, y in set(zip(a, b, strict=True)):
+                entry = side.setdefault(x, [y, 0])
+                entry[1] += by
+                if not entry[1]:
+                    del side[x]
+
+    def meets(at: int) -> bool:
+        pairs = set(zip(*slots[at], strict=True))
+        return all(there.get(x, (y,))[0] == y and back.get(y, (x,))[0] == x for x, y in pairs)
+
+    for at, (item, doc) in enumerate(slots):
+        pairs = set(zip(item, doc, strict=True))
+        alone = len({x for x, _ in pairs}) == len(pairs) == len({y for _, y in pairs})
+        if alone and meets(at):
+            count(at, 1)
+            continue
+        if at > start:
+            out.append((start, at))
+        while start < at and not (alone and meets(at)):
+            count(start, -1)
+            start += 1
+        if alone:
+            count(at, 1)
+        else:
+            start = at + 1
+    if len(slots) > start:
+        out.append((start, len(slots)))
+    return out
+
+
+RUNS = "doc_id long, item_id long, text_key long, places array<int>, verbatim array<int>, n_slots long, n_changed long"
+
+
+def _judge_runs(min_windows: int):
+    """Of each run of windows at one offset: the places that count, those of equal words, and what the slots hold.
+
+    A run that maps one to one counts whole. Of another, windows with the item's own values count, and each
+    maximal stretch that maps one to one if it has twice the windows that are needed, as values that changed
+    next to a conflict may have met by chance.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                met = sorted(r["met"], key=lambda w: (w["place"], w["item_slots"]))
+                slots = [(w["item_slots"], w["slots"]) for w in met]
+                kept = _stretches(slots)
+                if kept != [(0, len(met))]:
+                    least = 2 * min(min_windows, r["item_windows"])
+                    kept = [(a, b) for a, b in kept if len({w["place"] for w in met[a:b]}) >= least]
+                same = sorted({w["place"] for w in met if w["item_slots"] == w["slots"]})
+                pairs = [{p for i, d in slots[a:b] for p in zip(i, d, strict=True)} for a, b in kept]
+                pairs.append({(x, x) for i, d in slots if i == d for x in i})
+                out.append((r["doc_id"], r["item_id"], r["text_key"], sorted({w["place"] for a, b in kept for w in met[a:b]} | set(same)), same, max(map(len, pairs)), max(sum(x != y for x, y in p) for p in pairs)))
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int64(), pa.int64())
+            columns = list(zip(*out, strict=True)) or [()] * len(types)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["doc_id", "item_id", "text_key", "places", "verbatim", "n_slots", "n_changed"])
+
+    return run
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, min_tokens: int = MIN_TOKENS, filter_windows: int = FILTER_WINDOWS) -> DataFrame:
     """doc_id, item_id, n_windows, item_windows, n_slots, n_changed, reparameterised: documents that hold an item or much of it.
 
@@ -119,35 +188,37 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, min_tokens: int = MIN_TOKE
     WINDOW template tokens, LITERAL of them words at least, are hash-joined. A run of windows at one offset
     counts if its slots are consistent: each slot value of the item stands for one value of the document
     and the other way round; so a question with other numbers or names matches, and chance meetings of
-    placeholders do not. A document leaks an item if consistent runs cover as many windows as min_tokens
-    tokens have, or all of a shorter item's. An item of fewer than WINDOW tokens matches as a whole.
-
-    Null and empty texts match nothing. Rows that share a doc_id are taken together, null ids too; repeated
-    items match each. Where the benchmark's distinct windows are few (counted first) they filter the scan;
-    otherwise all of the documents' windows are shuffled.
+    placeholders do not. Of a run that is not consistent, the windows whose values are the item's own
+    count, and each maximal consistent stretch of twice the windows needed. A document leaks an item if
+    what counts covers as many windows as min_tokens tokens have, or all of a shorter item's. An item of
+    fewer than WINDOW tokens matches as a whole.
+
+    Null and empty texts match nothing. Rows that share a doc_id, or have none, are judged each by its own
+    text and reported as one, by the greatest figures; repeated items match each. Where the benchmark's
+    distinct windows are few (counted first) they filter the scan; otherwise all of the documents' windows
+    are shuffled.
     """
-    items = cut(benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").mapInArrow(_window_rows(list(range(LITERAL, WINDOW + 1)), None, True, "item_id"), MATCHES))
+    items = cut(benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.xxhash64("text").alias("text_key"), "text").mapInArrow(_window_rows(list(range(LITERAL, WINDOW + 1)), None, True, "item_id"), MATCHES))
     lengths = sorted(r[0] for r in items.select("length").distinct().collect())
     hashes = items.select("window").distinct()
     wanted = np.sort(np.array([r[0] for r in hashes.collect()], np.int64).view(np.uint64)) if fits(hashes, filter_windows) else None
     if not lengths:
         lengths, wanted = [WINDOW], np.zeros(1, np.uint64)
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_window_rows(lengths, wanted, False, "doc_id"), MATCHES)
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text").mapInArrow(_window_rows(lengths, wanted, False, "doc_id"), MATCHES)
     totals = items.groupBy(F.col("id").alias("item_id")).agg(F.count_distinct("place").alias("item_windows"))
     mine = items.select(F.col("id").alias("item_id"), "window", "length", F.col("place").alias("item_place"), F.col("slots").alias("item_slots"))
     met = lookup(found.withColumnRenamed("id", "doc_id"), mine, ["window", "length"], "inner")
-    pairs = F.arrays_zip(F.col("item_slots").alias("item"), F.col("slots").alias("doc"))
-    met = met.withColumn("pairs", pairs)
-    run = met.groupBy("doc_id", "item_id", (F.col("place") - F.col("item_place")).alias("offset")).agg(F.collect_set("item_place").alias("places"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
-    distinct = lambda name: F.size(F.array_distinct(F.transform("pairs", lambda x: x[name])))
-    consistent = (distinct("item") == F.size("pairs")) & (distinct("doc") == F.size("pairs"))
-    run = run.where(consistent).withColumn("changed", F.size(F.filter("pairs", lambda x: x["item"] != x["doc"])))
-    each = run.groupBy("doc_id", "item_id").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_list("places")))).cast("long").alias("n_windows"), F.max(F.size("pairs")).cast("long").alias("n_slots"), F.max("changed").cast("long").alias("n_changed")
+    window = F.struct(F.col("item_place").alias("place"), "item_slots", "slots")
+    run = met.groupBy("doc_id", "text_key", "item_id", (F.col("place") - F.col("item_place")).alias("offset")).agg(F.collect_set(window).alias("met"))
+    min_windows = max(1, min_tokens - WINDOW + 1)
+    judged = lookup(run.drop("offset"), totals, "item_id", "inner").mapInArrow(_judge_runs(min_windows), RUNS)
+    each = judged.groupBy("doc_id", "text_key", "item_id").agg(
+        F.size(F.array_distinct(F.flatten(F.collect_list("places")))).cast("long").alias("n_windows"), F.max("n_slots").alias("n_slots"), F.max("n_changed").alias("n_changed")
     )
-    judged = lookup(each, totals, "item_id", "inner")
-    need = F.least(F.lit(max(1, min_tokens - WINDOW + 1)), F.col("item_windows"))
-    return judged.where(F.col("n_windows") >= need).select("doc_id", "item_id", "n_windows", "item_windows", "n_slots", "n_changed", (F.col("n_changed") > 0).alias("reparameterised"))
+    need = F.least(F.lit(min_windows), F.col("item_windows"))
+    leaks = lookup(each, totals, "item_id", "inner").where(F.col("n_windows") >= need)
+    found = leaks.groupBy("doc_id", "item_id").agg(*[F.max(c).alias(c) for c in ("n_windows", "item_windows", "n_slots", "n_changed")])
+    return found.withColumn("reparameterised", F.col("n_changed") > 0)
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -76,6 +76,20 @@ def test_leaks(spark):
     assert decontam.find_leaks(docs, bench.limit(0)).count() == 0 and decontam.find_leaks(docs.limit(0), bench).count() == 0
 
 
+def test_leaks_of_runs_with_a_conflict(spark):
+    words = [f"w{i}x" for i in range(52)]
+    item = " ".join(["the", *words[:10], "Anna", *words[10:45], "Anna", *words[45:]])
+    berta = "Berta".join(item.rsplit("Anna", 1))
+    numbers = "there were 12 " + " ".join(words[:20]) + " and 34 " + " ".join(words[20:40])
+    bench = spark.createDataFrame([(1, item), (2, numbers)], "item_id long, text string")
+    carla = berta.replace("Anna", "Carla")  # changed throughout and in conflict
+    docs = spark.createDataFrame([(1, berta), (2, numbers.replace("34", "12")), (3, carla), (4, " ".join(words[:9])), (None, item), (None, item.replace("Anna", "Dora")), (5, item), (5, berta)], DOCS)
+    for limit in (10_000, 0):
+        got = {(r.doc_id, r.item_id) for r in decontam.find_leaks(docs, bench, filter_windows=limit).collect()}
+        assert {(1, 1), (2, 2), (3, 1), (None, 1), (5, 1)} <= got and 4 not in {d for d, _ in got}
+    assert decontam._stretches([([1], [1]), ([1], [2]), ([1, 2], [2, 2]), ([3], [2]), ([], [])]) == [(0, 1), (1, 2), (3, 5)]
+
+
 def test_leaks_equal_word_overlap_on_the_tables(spark):
     folder = "/root/testdata/sf0.01"
     docs, bench = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/benchmark.parquet")
