@@ -55,12 +55,13 @@ def templates(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     if not table:
         empty = np.empty(0, np.uint64)
         return empty, empty, np.empty(0, bool), np.zeros(len(texts) + 1, np.int64)
-    kinds, hashes, ends, units = (np.array(c) for c in zip(*table, strict=True))
+    # typed, as numpy makes floats of integers on both sides of 2**63, and of others not
+    kinds, hashes, ends, units = (np.array(c, t) for c, t in zip(zip(*table, strict=True), (np.int64, np.uint64, bool, bool), strict=True))
     codes = words.indices.to_numpy()
     real = kinds[codes] != _SKIP
     before = np.concatenate([[0], np.cumsum(real)])
     codes, offsets = codes[real], before[offsets]
-    kind, word = kinds[codes].copy(), hashes.astype(np.uint64)[codes]
+    kind, word = kinds[codes].copy(), hashes[codes]
     starts = np.zeros(len(codes) + 1, bool)
     starts[offsets] = True
     starts = starts[:-1]
@@ -73,13 +74,15 @@ def templates(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     return np.where(slot, _SLOT[kind], word), word, slot, offsets
 
 
-MATCHES = "id long, text_key long, window long, place int, length int, slots array<long>"
+MATCHES = "id long, text_key long, window long, place int, length int, worded boolean, slots array<long>"
 
 
-def _window_rows(lengths: list[int], wanted: np.ndarray | None, whole_if_short: bool, id_column: str):
-    """Rows (id, text_key, window, place, length, slots) of all windows, or of those whose hash is wanted.
+def _window_rows(lengths: list[int], wanted: np.ndarray | None, of_items: bool, id_column: str):
+    """Rows (id, text_key, window, place, length, worded, slots) of all windows, or of those whose hash is wanted.
 
-    whole_if_short: a text of fewer than WINDOW tokens gives itself as one window, whatever its length.
+    A window with LITERAL words gives its template; each gives its lower-case words, without slots, where
+    that is not the same hash. worded: whether its place has a template. of_items: a text of fewer than
+    WINDOW tokens gives itself as one window, whatever its length.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,22 +95,27 @@ def _window_rows(lengths: list[int], wanted: np.ndarray | None, whole_if_short:
             for k in lengths:
                 if len(template) < k:
                     continue
-                hashed = windows(template, k)
-                at = np.arange(len(hashed))
-                good = (owner[at] == owner[at + k - 1]) & (literal[at + k] - literal[at] >= min(LITERAL, k))
-                if whole_if_short and k < WINDOW:
-                    good &= size[owner[at]] == k
-                if wanted is not None:
-                    near = np.searchsorted(wanted, hashed)
-                    good &= wanted[np.minimum(near, len(wanted) - 1)] == hashed
-                at = np.flatnonzero(good)
-                for part in range(0, len(at), 50_000):
-                    own = at[part : part + 50_000]
-                    slots = [word[a : a + k][slot[a : a + k]].view(np.int64) for a in own]
-                    yield pa.RecordBatch.from_arrays(
-                        [ids.take(pa.array(owner[own])), keys.take(pa.array(owner[own])), pa.array(hashed[own].view(np.int64)), pa.array((own - offsets[owner[own]]).astype(np.int32)), pa.array(np.full(len(own), k, np.int32)), pa.array(slots, pa.list_(pa.int64()))],
-                        names=["id", "text_key", "window", "place", "length", "slots"],
-                    )
+                at = np.arange(len(template) - k + 1)
+                whole = owner[at] == owner[at + k - 1]
+                if of_items and k < WINDOW:
+                    whole &= size[owner[at]] == k
+                words = literal[at + k] - literal[at]
+                worded = whole & (words >= LITERAL)
+                for hashed, good, typed in ((windows(template, k), worded, True), (windows(word, k), whole & ~(worded & (words == k)), False)):
+                    if wanted is not None:
+                        near = np.searchsorted(wanted, hashed)
+                        good = good & (wanted[np.minimum(near, len(wanted) - 1)] == hashed)
+                    at = np.flatnonzero(good)
+                    for part in range(0, len(at), 50_000):
+                        own = at[part : part + 50_000]
+                        slots = [word[a : a + k][slot[a : a + k]].view(np.int64) if typed else () for a in own]
+                        yield pa.RecordBatch.from_arrays(
+                            [
+                                ids.take(pa.array(owner[own])), keys.take(pa.array(owner[own])), pa.array(hashed[own].view(np.int64)), pa.array((own - offsets[owner[own]]).astype(np.int32)),
+                                pa.array(np.full(len(own), k, np.int32)), pa.array(worded[own]), pa.array(slots, pa.list_(pa.int64())),
+                            ],
+                            names=["id", "text_key", "window", "place", "length", "worded", "slots"],
+                        )
 
     return run
 
@@ -149,7 +157,7 @@ def _stretches(slots: list[tuple[list[int], list[int]]]) -> list[tuple[int, int]
     return out
 
 
-RUNS = "doc_id long, item_id long, text_key long, places array<int>, verbatim array<int>, n_slots long, n_changed long"
+RUNS = "doc_id long, item_id long, text_key long, places array<int>, worded array<int>, verbatim array<int>, n_slots long, n_changed long"
 
 
 def _judge_runs(min_windows: int):
@@ -168,15 +176,18 @@ def _judge_runs(min_windows: int):
                 slots = [(w["item_slots"], w["slots"]) for w in met]
                 kept = _stretches(slots)
                 if kept != [(0, len(met))]:
-                    least = 2 * min(min_windows, r["item_windows"])
-                    kept = [(a, b) for a, b in kept if len({w["place"] for w in met[a:b]}) >= least]
-                same = sorted({w["place"] for w in met if w["item_slots"] == w["slots"]})
+                    least = 2 * min(min_windows, max(1, r["item_worded"]))
+                    kept = [(a, b) for a, b in kept if len({w["place"] for w in met[a:b] if w["worded"]}) >= least]
+                same = {w["place"] for w in met if w["item_slots"] == w["slots"]}
+                places = {w["place"] for a, b in kept for w in met[a:b]} | same
                 pairs = [{p for i, d in slots[a:b] for p in zip(i, d, strict=True)} for a, b in kept]
                 pairs.append({(x, x) for i, d in slots if i == d for x in i})
-                out.append((r["doc_id"], r["item_id"], r["text_key"], sorted({w["place"] for a, b in kept for w in met[a:b]} | set(same)), same, max(map(len, pairs)), max(sum(x != y for x, y in p) for p in pairs)))
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int64(), pa.int64())
+                worded = places & {w["place"] for w in met if w["worded"]}
+                out.append((r["doc_id"], r["item_id"], r["text_key"], sorted(places), sorted(worded), sorted(same), max(map(len, pairs)), max(sum(x != y for x, y in p) for p in pairs)))
+            longs, ints = pa.int64(), pa.list_(pa.int32())
+            types = (longs, longs, longs, ints, ints, ints, longs, longs)
             columns = list(zip(*out, strict=True)) or [()] * len(types)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["doc_id", "item_id", "text_key", "places", "verbatim", "n_slots", "n_changed"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["doc_id", "item_id", "text_key", "places", "worded", "verbatim", "n_slots", "n_changed"])
 
     return run
 
@@ -185,38 +196,41 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, min_tokens: int = MIN_TOKE
     """doc_id, item_id, n_windows, item_windows, n_slots, n_changed, reparameterised: documents that hold an item or much of it.
 
     Both sides become templates: numbers, names and units give way to typed placeholders. Windows of
-    WINDOW template tokens, LITERAL of them words at least, are hash-joined. A run of windows at one offset
+    WINDOW template tokens, LITERAL of them words at least, are hash-joined; beside them all windows are
+    joined by their lower-case words alone, so a verbatim copy matches whatever its tokens are. A run of windows at one offset
     counts if its slots are consistent: each slot value of the item stands for one value of the document
     and the other way round; so a question with other numbers or names matches, and chance meetings of
     placeholders do not. Of a run that is not consistent, the windows whose values are the item's own
     count, and each maximal consistent stretch of twice the windows needed. A document leaks an item if
-    what counts covers as many windows as min_tokens tokens have, or all of a shorter item's. An item of
-    fewer than WINDOW tokens matches as a whole.
+    what counts covers as many windows as min_tokens tokens have, or all of a shorter item's: of all windows
+    if their words are equal, else of those with a template. An item of fewer than WINDOW tokens matches
+    as a whole, of fewer than LITERAL by its words only.
 
     Null and empty texts match nothing. Rows that share a doc_id, or have none, are judged each by its own
     text and reported as one, by the greatest figures; repeated items match each. Where the benchmark's
     distinct windows are few (counted first) they filter the scan; otherwise all of the documents' windows
     are shuffled.
     """
-    items = cut(benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.xxhash64("text").alias("text_key"), "text").mapInArrow(_window_rows(list(range(LITERAL, WINDOW + 1)), None, True, "item_id"), MATCHES))
+    items = cut(benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.xxhash64("text").alias("text_key"), "text").mapInArrow(_window_rows(list(range(1, WINDOW + 1)), None, True, "item_id"), MATCHES))
     lengths = sorted(r[0] for r in items.select("length").distinct().collect())
     hashes = items.select("window").distinct()
     wanted = np.sort(np.array([r[0] for r in hashes.collect()], np.int64).view(np.uint64)) if fits(hashes, filter_windows) else None
     if not lengths:
         lengths, wanted = [WINDOW], np.zeros(1, np.uint64)
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text").mapInArrow(_window_rows(lengths, wanted, False, "doc_id"), MATCHES)
-    totals = items.groupBy(F.col("id").alias("item_id")).agg(F.count_distinct("place").alias("item_windows"))
-    mine = items.select(F.col("id").alias("item_id"), "window", "length", F.col("place").alias("item_place"), F.col("slots").alias("item_slots"))
-    met = lookup(found.withColumnRenamed("id", "doc_id"), mine, ["window", "length"], "inner")
-    window = F.struct(F.col("item_place").alias("place"), "item_slots", "slots")
+    totals = items.groupBy(F.col("id").alias("item_id")).agg(F.count_distinct("place").alias("item_windows"), F.count_distinct(F.when(F.col("worded"), F.col("place"))).alias("item_worded"))
+    mine = items.select(F.col("id").alias("item_id"), "window", "length", "worded", F.col("place").alias("item_place"), F.col("slots").alias("item_slots"))
+    met = lookup(found.withColumnRenamed("id", "doc_id").drop("worded"), mine, ["window", "length"], "inner")
+    window = F.struct(F.col("item_place").alias("place"), "worded", "item_slots", "slots")
     run = met.groupBy("doc_id", "text_key", "item_id", (F.col("place") - F.col("item_place")).alias("offset")).agg(F.collect_set(window).alias("met"))
     min_windows = max(1, min_tokens - WINDOW + 1)
     judged = lookup(run.drop("offset"), totals, "item_id", "inner").mapInArrow(_judge_runs(min_windows), RUNS)
+    union = lambda name: F.size(F.array_distinct(F.flatten(F.collect_list(name)))).cast("long")
     each = judged.groupBy("doc_id", "text_key", "item_id").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_list("places")))).cast("long").alias("n_windows"), F.max("n_slots").alias("n_slots"), F.max("n_changed").alias("n_changed")
+        union("places").alias("n_windows"), union("worded").alias("n_worded"), union("verbatim").alias("n_verbatim"), F.max("n_slots").alias("n_slots"), F.max("n_changed").alias("n_changed")
     )
-    need = F.least(F.lit(min_windows), F.col("item_windows"))
-    leaks = lookup(each, totals, "item_id", "inner").where(F.col("n_windows") >= need)
+    enough = lambda n, of: (F.col(n) > 0) & (F.col(n) >= F.least(F.lit(min_windows), F.col(of)))
+    leaks = lookup(each, totals, "item_id", "inner").where(enough("n_worded", "item_worded") | enough("n_verbatim", "item_windows"))
     found = leaks.groupBy("doc_id", "item_id").agg(*[F.max(c).alias(c) for c in ("n_windows", "item_windows", "n_slots", "n_changed")])
     return found.withColumn("reparameterised", F.col("n_changed") > 0)
 

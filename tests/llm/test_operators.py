@@ -90,6 +90,17 @@ def test_leaks_of_runs_with_a_conflict(spark):
     assert decontam._stretches([([1], [1]), ([1], [2]), ([1, 2], [2, 2]), ([3], [2]), ([], [])]) == [(0, 1), (1, 2), (3, 5)]
 
 
+def test_leaks_of_items_with_few_words(spark):
+    items = ["Add 12 34 56 78 90 to 11 22 33 44 55 then halve 10 20 30 40 50 60", "Anna has 3 pears", "quixotic zebra", "Halve 7"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    mixed = "so it says 1 2 3 4 5 6 7 8 are the digits we all know"
+    bench = bench.union(spark.createDataFrame([(9, mixed + " and " + " ".join(f"w{i}x" for i in range(20)))], bench.schema))
+    docs = spark.createDataFrame([(i, f"before it {x} and after") for i, x in enumerate(items)] + [(9, mixed), (10, "before it and after 12 34 56 78 90"), (11, None)], DOCS)
+    for limit in (10_000, 0):
+        got = {(r.doc_id, r.item_id) for r in decontam.find_leaks(docs, bench, filter_windows=limit).collect()}
+        assert got == {(0, 0), (1, 1), (2, 2), (3, 3), (9, 9)}
+
+
 def test_leaks_equal_word_overlap_on_the_tables(spark):
     folder = "/root/testdata/sf0.01"
     docs, bench = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/benchmark.parquet")
