@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, fits, lookup
-from .tokens import remembered, slices, split_words, windows
+from .tokens import fold, remembered, slices, split_words, windows
 
 #: Tokens of a template window.
 WINDOW = 8
@@ -44,8 +44,8 @@ def _token(raw: str) -> tuple[int, int, bool, bool]:
 _SEEN: dict[str, tuple[int, int, bool, bool]] = {}
 
 
-def templates(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of all texts' tokens in order: template hash, hash of the word itself, whether it is a slot; and each text's offsets.
+def templates(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of all texts' tokens in order: kind, kinds it can have after other tokens as bits, hash of the word itself, whether it is a slot; and each text's offsets.
 
     A number becomes a placeholder, a unit after a number another, and a capitalised word inside a
     sentence a name; tokens without a letter or digit are left out. All else stays as a lower-case word.
@@ -54,7 +54,7 @@ def templates(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     table = remembered(words, _SEEN, _token)
     if not table:
         empty = np.empty(0, np.uint64)
-        return empty, empty, np.empty(0, bool), np.zeros(len(texts) + 1, np.int64)
+        return empty.astype(np.int64), empty.astype(np.int64), empty, np.empty(0, bool), np.zeros(len(texts) + 1, np.int64)
     # typed, as numpy makes floats of integers on both sides of 2**63, and of others not
     kinds, hashes, ends, units = (np.array(c, t) for c, t in zip(zip(*table, strict=True), (np.int64, np.uint64, bool, bool), strict=True))
     codes = words.indices.to_numpy()
@@ -68,10 +68,20 @@ def templates(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     prior = np.concatenate([[0], codes[:-1]]) if len(codes) else codes
     first = starts | ends[prior]
     follows_number = np.concatenate([[False], kind[:-1] == _NUM]) & ~starts if len(codes) else starts
+    fixed, unit = kind == _NUM, units[codes]
+    able = np.where(fixed, 1 << _NUM, 1 << _LITERAL) | np.where(kind == _CAPITAL, 1 << _CAPITAL, 0) | np.where(unit, 1 << _UNIT, 0)
     kind[(kind == _CAPITAL) & first] = _LITERAL
-    kind[units[codes] & follows_number] = _UNIT
-    slot = kind != _LITERAL
-    return np.where(slot, _SLOT[kind], word), word, slot, offsets
+    kind[unit & follows_number] = _UNIT
+    return kind, able, word, kind != _LITERAL, offsets
+
+
+def _starting(first: np.ndarray, hashes: np.ndarray, k: int) -> np.ndarray:
+    """windows(hashes, k) with each window's first entry taken from first."""
+    n = len(hashes) - k + 1
+    x = fold(np.full(n, k, np.uint64), first[:n])
+    for j in range(1, k):
+        x = fold(x, hashes[j : j + n])
+    return x
 
 
 MATCHES = "id long, text_key long, window long, place int, length int, worded boolean, slots array<long>"
@@ -82,12 +92,14 @@ def _window_rows(lengths: list[int], wanted: np.ndarray | None, of_items: bool,
 
     A window with LITERAL words gives its template; each gives its lower-case words, without slots, where
     that is not the same hash. worded: whether its place has a template. of_items: a text of fewer than
-    WINDOW tokens gives itself as one window, whatever its length.
+    WINDOW tokens gives itself as one window, whatever its length; and as the kind of a window's first token
+    hangs on the token before it, which a copy may not share, a window gives a template for each kind.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            template, word, slot, offsets = templates(batch.column("text"))
+            kind, able, word, slot, offsets = templates(batch.column("text"))
+            template = np.where(slot, _SLOT[kind], word)
             ids, keys = batch.column(id_column), batch.column("text_key")
             literal = np.concatenate([[0], np.cumsum(~slot)])
             owner = np.repeat(np.arange(len(ids)), np.diff(offsets))
@@ -100,15 +112,22 @@ def _window_rows(lengths: list[int], wanted: np.ndarray | None, of_items: bool,
                 if of_items and k < WINDOW:
                     whole &= size[owner[at]] == k
                 words = literal[at + k] - literal[at]
-                worded = whole & (words >= LITERAL)
-                for hashed, good, typed in ((windows(template, k), worded, True), (windows(word, k), whole & ~(worded & (words == k)), False)):
+                # a document's first token may be a word in the item
+                spare = 0 if of_items else (slot & (kind != _NUM))[at]
+                worded = whole & (words + spare >= LITERAL)
+                # hash, which windows, and the kind of their first token; no kind where there are no slots
+                forms = [(windows(template, k), worded, kind), (windows(word, k), whole & ~(worded & (words == k)), None)]
+                for other in (_LITERAL, _CAPITAL, _UNIT) if of_items else ():
+                    start = word if other == _LITERAL else np.full(len(word), _SLOT[other])
+                    forms.append((_starting(start, template, k), worded & ((able[at] >> other) & 1 == 1) & (kind[at] != other), np.full(len(word), other)))
+                for hashed, good, head in forms:
                     if wanted is not None:
                         near = np.searchsorted(wanted, hashed)
                         good = good & (wanted[np.minimum(near, len(wanted) - 1)] == hashed)
                     at = np.flatnonzero(good)
                     for part in range(0, len(at), 50_000):
                         own = at[part : part + 50_000]
-                        slots = [word[a : a + k][slot[a : a + k]].view(np.int64) if typed else () for a in own]
+                        slots = [() if head is None else word[a : a + k][np.append(head[a] != _LITERAL, slot[a + 1 : a + k])].view(np.int64) for a in own]
                         yield pa.RecordBatch.from_arrays(
                             [
                                 ids.take(pa.array(owner[own])), keys.take(pa.array(owner[own])), pa.array(hashed[own].view(np.int64)), pa.array((own - offsets[owner[own]]).astype(np.int32)),

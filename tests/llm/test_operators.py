@@ -101,6 +101,19 @@ def test_leaks_of_items_with_few_words(spark):
         assert got == {(0, 0), (1, 1), (2, 2), (3, 3), (9, 9)}
 
 
+def test_leaks_whatever_stands_before_and_in_any_case(spark):
+    river = "What river flows past the old mill town near the border today?"
+    names = "Anna met Berta while Carla saw Dora then Emma told Fritz that Gerda left Hanna"
+    days = "Days pass slowly for 3 old men who wait outside"
+    bench = spark.createDataFrame([(1, river), (2, names), (3, days), (4, "Name the big river")], "item_id long, text string")
+    docs = spark.createDataFrame(
+        [(1, "a heading line\n" + river), (2, "so " + names.lower() + " it says"), (3, "it took 5 " + days), (4, "a heading line\n" + days.replace("3", "4")), (5, "an unstopped line\nName the big river"), (6, river.lower()), (7, "What river flows")], DOCS
+    )
+    for limit in (10_000, 0):
+        got = {(r.doc_id, r.item_id): r.reparameterised for r in decontam.find_leaks(docs, bench, filter_windows=limit).collect()}
+        assert got == {(1, 1): False, (2, 2): False, (3, 3): False, (4, 3): True, (5, 4): False, (6, 1): False}
+
+
 def test_leaks_equal_word_overlap_on_the_tables(spark):
     folder = "/root/testdata/sf0.01"
     docs, bench = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/benchmark.parquet")
