@@ -59,7 +59,7 @@ def _word(raw: str) -> tuple[int, tuple[int, ...], int, int]:
     else:
         bare = " ".join(_WORD.findall(raw)).lower()
         kinds = sum(1 << i for i, yes in enumerate((any(c in "#*$%&|<>" for c in raw), len(raw) > 1 and raw.isupper(), raw.endswith("!!"), raw == "|")) if yes)
-        shape = _SPLIT.sub(r"\1", "".join("A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else c for c in raw[:64]))
+        shape = _SPLIT.sub(r"\1", "".join("A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else c for c in raw))
     for b in bare.split():
         if b in _LEXICON:
             kinds |= 1 << (4 + _LEXICON[b])
@@ -115,8 +115,11 @@ def _label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, first = np.unique(four[whole] ^ (of.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), return_index=True)
         again = 1 - per(of[first]) / np.maximum(per(of), 1)
         start = np.cumsum(x.size) - x.size
-        early = np.arange(len(own)) - start[own] < 200
-        variety = per(np.unique(own[early] * (1 << 32) + x.codes[early]) >> 32) / np.minimum(n, 200)
+        # distinct words in each 200 words, whole text; the share's mean by words
+        before = np.cumsum(-(-x.size // 200)) - -(-x.size // 200)
+        spans, of_span = before[own] + (np.arange(len(own)) - start[own]) // 200, np.zeros((-(-x.size // 200)).sum() + 1, np.int64)
+        of_span[spans] = own
+        variety = per(of_span[np.unique(spans * (1 << 32) + x.codes) >> 32]) / n
         lines = pc.split_pattern(pc.fill_null(batch.column("text"), "").cast(pa.large_string()), "\n")
         line = pc.utf8_trim_whitespace(lines.flatten())
         of_line = np.repeat(np.arange(rows), np.diff(lines.offsets.to_numpy()))

@@ -313,3 +313,13 @@ def test_crc_and_sizes(spark):
     spark_rows = queries.op8_shard(spark, "/root/testdata/sf0.001").collect()
     texts = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
     assert all(r.text_crc32 == zlib.crc32(texts[r.doc_id].encode()) and r.size == len(texts[r.doc_id].encode()) + 1 and r.law == "bytes" and r.grown_shard is None for r in spark_rows)
+
+
+def test_variety_and_shapes_are_of_whole_texts():
+    varied = " ".join(f"word{i}" for i in range(200))
+    texts = [varied + " junk spam" * 2000, "junk " * 200 + " ".join(f"word{i}" for i in range(3000)), "junk " * 30, varied, None]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(5), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    at = quality_model.QUALITY_LABELLERS.index("variety") - 1
+    votes = [r["quality"][at] for b in quality_model._label(iter([batch])) for r in b.to_pylist()]
+    assert votes[:4] == [-1, 0, -1, 0]
+    assert quality_model._word("a1" * 32 + "-")[2] != quality_model._word("a1" * 32 + "B")[2]
