@@ -63,15 +63,8 @@ def _figures(docs: DataFrame, host: str) -> DataFrame:
     return placed.withColumn("n_repeat_words", covered).drop("places").withColumn("base_failed", failed)
 
 
-def judge(docs: DataFrame, host: str = "source", line_share: float = LINE_SHARE, line_floor: int = LINE_FLOOR, min_left: float = MIN_LEFT) -> DataFrame:
-    """doc_id, host, key_1, key_2 (of the text), the figures, base_failed, chars, chars_left and kept, a row per document.
-
-    Lines are normalised and hashed. Of each host, the distinct documents (texts: copies count once) that
-    hold a line are counted; lines in more than line_floor and line_share of the host's documents are
-    boilerplate. A document is rejected if it fails the base rules or if boilerplate leaves less than
-    min_left of its characters. Null and empty texts have no words and fail. A null host is a host of its
-    own; repeated rows are judged alike. An empty table gives no rows; other columns are not read.
-    """
+def _judged(docs: DataFrame, host: str, line_share: float, line_floor: int, min_left: float) -> tuple[DataFrame, DataFrame]:
+    """What judge() gives, and the frequent lines behind it as (of_host, of_line) hashes."""
     figures = cut(_figures(docs, host))
     contents = figures.where(F.size("lines") > 0).groupBy("host", "key_1", "key_2").agg(F.first("lines").alias("lines"))
     contents = cut(contents)
@@ -87,18 +80,43 @@ def judge(docs: DataFrame, host: str = "source", line_share: float = LINE_SHARE,
     chars = F.expr("aggregate(lines, 0L, (n, l) -> n + l.chars)")
     judged = lookup(figures.withColumn("chars", chars).drop("lines"), lost, on).drop("of_host", "of_1", "of_2")
     left = F.col("chars") - F.coalesce("lost", F.lit(0))
-    return judged.withColumn("chars_left", left).withColumn("kept", ~F.col("base_failed") & (left >= F.col("chars") * min_left)).drop("lost")
+    judged = judged.withColumn("chars_left", left).withColumn("kept", ~F.col("base_failed") & (left >= F.col("chars") * min_left)).drop("lost")
+    return judged, frequent
 
 
-def keep(docs: DataFrame, host: str = "source", **how) -> DataFrame:
-    """The documents that judge() keeps, with docs' columns. Texts stay as they are."""
-    judged = judge(docs, host, **how)
+def judge(docs: DataFrame, host: str = "source", line_share: float = LINE_SHARE, line_floor: int = LINE_FLOOR, min_left: float = MIN_LEFT) -> DataFrame:
+    """doc_id, host, key_1, key_2 (of the text), the figures, base_failed, chars, chars_left and kept, a row per document.
+
+    Lines are normalised and hashed. Of each host, the distinct documents (texts: copies count once) that
+    hold a line are counted; lines in more than line_floor and line_share of the host's documents are
+    boilerplate. A document is rejected if it fails the base rules or if boilerplate leaves less than
+    min_left of its characters. Null and empty texts have no words and fail. A null host is a host of its
+    own; repeated rows are judged alike. An empty table gives no rows; other columns are not read.
+    """
+    return _judged(docs, host, line_share, line_floor, min_left)[0]
+
+
+def _kept(docs: DataFrame, judged: DataFrame, host: str) -> DataFrame:
     gone = cut(judged.where(~F.col("kept")).select(F.col("host").alias("gone_host"), F.col("key_1").alias("gone_1"), F.col("key_2").alias("gone_2")).distinct())
     text = F.coalesce(F.col("text"), F.lit(""))
     on = F.col(host).eqNullSafe(F.col("gone_host")) & (F.xxhash64(text) == F.col("gone_1")) & (F.xxhash64(F.lit(1), text) == F.col("gone_2"))
     return lookup(docs, gone, on, "left_anti")
 
 
+def keep(docs: DataFrame, host: str = "source", **how) -> DataFrame:
+    """The documents that judge() keeps, with docs' columns. Texts stay as they are."""
+    return _kept(docs, judge(docs, host, **how), host)
+
+
+def clean(docs: DataFrame, host: str = "source", line_share: float = LINE_SHARE, line_floor: int = LINE_FLOOR, min_left: float = MIN_LEFT) -> DataFrame:
+    """The documents that judge() keeps, without the boilerplate lines it counted; columns as they are, n_chars counted anew if there."""
+    judged, frequent = _judged(docs, host, line_share, line_floor, min_left)
+    left = strip_lines(_kept(docs, judged, host), frequent, host)
+    if "n_chars" in docs.columns:
+        left = left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return left.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def strip_lines(docs: DataFrame, frequent: DataFrame, host: str = "source") -> DataFrame:
     """docs with boilerplate lines cut out of their texts; frequent holds (of_host, of_line) hashes, few enough to send along.
 
@@ -108,4 +126,5 @@ def strip_lines(docs: DataFrame, frequent: DataFrame, host: str = "source") -> D
     joined = lookup(docs, cut(sets), F.col(host).eqNullSafe(F.col("of_host")))
     kept = F.filter(F.split("text", "\n"), lambda x: ~F.coalesce(F.array_contains("strip_hashes", F.xxhash64(_normal(x))), F.lit(False)))
     names = [c for c in docs.columns if c != "text"]
-    return replacing(joined.withColumn("text", F.array_join(kept, "\n")), "of_host", "strip_hashes").select(*names, "text")
+    text = F.when(F.col("strip_hashes").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    return replacing(joined.withColumn("text", text), "of_host", "strip_hashes").select(*names, "text")

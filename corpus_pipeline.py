@@ -10,8 +10,8 @@ SHARDS = 16
 
 
 def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the base rules, or that lines frequent in their source leave depleted, go."""
-    return quality_rules.keep(docs)
+    """Documents that fail the base rules, or that lines frequent in their source leave depleted, go; the others lose these lines."""
+    return quality_rules.clean(docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

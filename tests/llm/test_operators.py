@@ -10,6 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from chromill.llm import chat, decontam, mixing, pii, quality_model, quality_rules, queries, sharding, token_count, tokens, warc
 
 DOCS = "doc_id long, text string"
@@ -142,6 +143,17 @@ def test_boilerplate_depletes(spark):
     assert stripped[3] == own(3) and stripped[100] == "short own and other words of a page" and stripped[101].count(line) == 1
 
 
+def test_pipeline_cuts_boilerplate(spark):
+    line = "Subscribe to our newsletter today and never miss an offer again, dear reader number 7."
+    own = lambda i: " ".join(chr(97 + i % 26) + chr(97 + i // 26) + chr(97 + j % 26) + chr(97 + j // 26) for j in range(30))
+    rows = [(i, f"{line}\n{own(i)}", "h", 1) for i in range(40)] + [(100, f"{line}\nshort", "h", 1), (101, f"{line}\n{own(50)}", "other", 1), (102, None, "h", 0)]
+    docs = spark.createDataFrame(rows, DOCS + ", source string, n_chars long")
+    cleaned = corpus_pipeline.reject_low_quality(spark, docs, "")
+    got = {r.doc_id: r for r in cleaned.collect()}
+    assert cleaned.columns == docs.columns and sorted(got) == [*range(40), 101]
+    assert all(got[i].text == own(i) and got[i].n_chars == len(own(i)) for i in range(40)) and got[101].text == f"{line}\n{own(50)}"
+
+
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
