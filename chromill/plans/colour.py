@@ -101,8 +101,7 @@ def q_unique_pixels(spark, sf_dir):
 
 def r_dominant_colours(spark, sf_dir):
     """K-means over each image's pixels, without SQL."""
-    few = d.pixels(spark, sf_dir).select("image_id", *[(F.col(c) - F.col(c) % 16).alias(c) for c in "rgb"])
-    return palette.dominant_colours(few, k=8, starts=1)
+    return palette.dominant_colours(d.pixels(spark, sf_dir), starts=10)
 
 
 def r_image_palettes(spark, sf_dir):

@@ -46,12 +46,12 @@ def q_combo_swap_gain(spark, sf_dir):
 
 def r_combinations(spark, sf_dir):
     """Shuffled, climbed and flattened."""
-    return c.flatten(c.build(spark, d.csize(spark, sf_dir), tries=20))
+    return c.flatten(c.build(spark, d.csize(spark, sf_dir)))
 
 
 def r_combination_document(spark, sf_dir):
     """B5"""
-    return c.document(c.build(spark, d.csize(spark, sf_dir), tries=5))
+    return c.document(c.build(spark, d.csize(spark, sf_dir)))
 
 
 QUERIES = [q_frequency_plan, q_combo_enumeration, q_combo_stats, q_combo_frequency, q_combo_swap_gain, r_combinations, r_combination_document]

@@ -156,29 +156,28 @@ def r_pca_kmeans(spark, sf_dir):
     """Scaled, reduced and clustered; each row's cluster."""
     f = cluster.assemble(cluster.standard_scale(d.feat18(spark, sf_dir), FEATURES_18), FEATURES_18)
     reduced = cluster.fit_pca(f, len(FEATURES_18)).transform(f)
-    return cluster.kmeans(reduced, 10, starts=2).transform(reduced).select("filename", F.col("prediction").alias("cluster_id"))
+    return cluster.kmeans(reduced, cluster.TARGET_K, starts=30).transform(reduced).select("filename", F.col("prediction").alias("cluster_id"))
 
 
 def r_choose_k(spark, sf_dir):
     """Inertia and silhouette of each k tried, and the chosen one."""
     f = cluster.assemble(d.feat18(spark, sf_dir), FEATURES_18, "pca")
-    chosen, tried = cluster.choose_k(f, (8, 10, 12), target=10)
+    f = f.persist()
+    chosen, tried = cluster.choose_k(f, range(20, 41), starts=30)
+    f.unpersist()
     return spark.createDataFrame([(k, float(i), float(s), k == chosen) for k, i, s in tried], "k int, inertia double, silhouette double, chosen boolean")
 
 
 def r_classify(spark, sf_dir):
-    """Scores of two families on a stratified hold-out."""
+    """Scores of the five families on a stratified hold-out."""
     split = cluster.stratified(cluster.standard_scale(d.feat18(spark, sf_dir), FEATURES_18), "color", [F.xxhash64("vec_id")])
     prepared, _ = classify.prepare(split, FEATURES_18)
     prepared = prepared.persist()
     rows, n = [], prepared.count()
     families = classify.models(len(FEATURES_18), 10, n)
-    families["logistic regression"].setMaxIter(20)
-    families["random forest"].setNumTrees(10).setMaxDepth(8)
     for name, estimator in families.items():
-        if name in ("logistic regression", "random forest"):
-            s = eda.weighted_scores(estimator.fit(prepared.where(~F.col("is_test"))).transform(prepared.where("is_test")), "label", "prediction").first()
-            rows.append((name, *map(float, s)))
+        s = eda.weighted_scores(estimator.fit(prepared.where(~F.col("is_test"))).transform(prepared.where("is_test")), "label", "prediction").first()
+        rows.append((name, *map(float, s)))
     prepared.unpersist()
     return spark.createDataFrame(rows, "classifier string, accuracy double, precision double, recall double, f1 double")
 

@@ -29,3 +29,23 @@ def test_nothing_outside_imports_the_optional_part():
     for f in root.rglob("*.py"):
         if "llm" not in f.relative_to(root).parts:
             assert "llm" not in f.read_text(), f
+
+
+def test_reference_queries_run_whole_jobs(spark, monkeypatch):
+    from chromill.operators import classify, cluster
+    from chromill.plans import colour, combinations, derived, stats
+
+    rows = [(1, 2 * i, i * 7 % 256, 255 - i) for i in range(40)]
+    monkeypatch.setattr(derived, "pixels", lambda *_: spark.createDataFrame(rows, "image_id int, r int, g int, b int"))
+    assert colour.r_dominant_colours(spark, "").count() == 30
+    seen = {}
+    monkeypatch.setattr(combinations.c, "build", lambda *_, **how: seen.update(build=how))
+    monkeypatch.setattr(combinations.c, "flatten", lambda x: x)
+    combinations.r_combinations(spark, "/root/testdata/sf0.001")
+    monkeypatch.setattr(cluster, "choose_k", lambda f, ks, **how: (seen.update(ks=list(ks), choose=how), (30, [(30, 1.0, 0.5)]))[1])
+    stats.r_choose_k(spark, "/root/testdata/sf0.001")
+    families = classify.models(18, 10, 500)
+    few = families["logistic regression"].setMaxIter(1)
+    monkeypatch.setattr(classify, "models", lambda *_: dict.fromkeys(families, few))
+    assert seen == {"build": {}, "ks": list(range(20, 41)), "choose": {"starts": 30}}
+    assert [r.classifier for r in stats.r_classify(spark, "/root/testdata/sf0.001").collect()] == list(families)
