@@ -335,3 +335,10 @@ def test_variety_and_shapes_are_of_whole_texts():
     votes = [r["quality"][at] for b in quality_model._label(iter([batch])) for r in b.to_pylist()]
     assert votes[:4] == [-1, 0, -1, 0]
     assert quality_model._word("a1" * 32 + "-")[2] != quality_model._word("a1" * 32 + "B")[2]
+
+
+def test_long_secrets_are_candidates(spark):
+    token = "eyJ" + "aB3dE6gH9k" * 40
+    got = pii.detect(spark.createDataFrame([(1, f"the auth token: {token} ends"), (2, f"{token}." * 2)], DOCS)).collect()
+    spans = {r.doc_id: [(s.start, s.stop) for s in r.spans if s.kind == "secret"] for r in got}
+    assert spans == {1: [(16, 16 + len(token))], 2: [(0, len(token)), (len(token) + 1, 2 * len(token) + 1)]}
