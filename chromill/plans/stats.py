@@ -127,7 +127,7 @@ def q_nearest_centroid(spark, sf_dir):
 
 def q_silhouette_exact(spark, sf_dir):
     """C18, D6, E16"""
-    s = cluster.silhouette(d.feat18(spark, sf_dir), FEATURES_18, "vec_id")
+    s = cluster.silhouette(d.feat18(spark, sf_dir), FEATURES_18, "vec_id", limit=None)
     return s.groupBy("cluster_id").agg(F.round(F.avg("silhouette"), 6).alias("mean_silhouette"), F.round(F.median("silhouette"), 6).alias("median_silhouette"), (F.median("silhouette") < 0).alias("is_negative"))
 
 
