@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 WHITE = " \t\n\x0b\x0c\r"
 
-#: A join side is broadcast up to so many rows (narrow rows of some ten bytes); beyond, the join shuffles.
-BROADCAST_ROWS = 400_000
+#: A join side is broadcast up to so many bytes, counted before; beyond, the join shuffles.
+BROADCAST_BYTES = 32 << 20
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
@@ -43,17 +43,38 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def fits(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether df has at most so many rows; reads no more than that."""
-    return df.limit(rows + 1).count() <= rows
+def _length(df: DataFrame, name: str) -> Column:
+    """Bytes of a column's value beyond eight."""
+    kind, c = df.schema[name].dataType.typeName(), F.col(f"`{name}`")
+    if kind in ("string", "binary"):
+        return F.coalesce(F.octet_length(c), F.lit(0))
+    if kind in ("struct", "array", "map"):
+        return F.coalesce(F.octet_length(F.to_json(c)), F.lit(0))
+    return F.lit(0)
 
 
-def lookup(left: DataFrame, right: DataFrame, on, how: str = "left", rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Joins right to left: broadcast if its counted rows are few, else by a shuffle whose skew AQE splits.
+def fits(df: DataFrame, most: int = BROADCAST_BYTES) -> bool:
+    """Whether df's rows take at most so many bytes: 16 a row, 8 a column, and what strings and nested values hold. Reads few rows more than that."""
+    width = 16 + 8 * len(df.columns)
+    rows = max(1, most // width)
+    n, held = df.limit(rows + 1).agg(F.count("*"), F.sum(sum((_length(df, c) for c in df.columns), F.lit(0)).cast("long"))).first()
+    return n <= rows and n * width + (held or 0) <= most
+
+
+def lookup(left: DataFrame, right: DataFrame, on, how: str = "left", most: int = BROADCAST_BYTES) -> DataFrame:
+    """Joins right to left: broadcast if its counted bytes are few, else by a shuffle whose skew AQE splits.
 
     right should be cut or cheap, as its rows are counted first.
     """
-    return left.join(F.broadcast(right) if fits(right, rows) else right, on, how)
+    return left.join(F.broadcast(right) if fits(right, most) else right, on, how)
+
+
+def unused(name: str, *frames: DataFrame) -> str:
+    """name, with marks added until no column of frames is called so; names match as Spark compares them."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def size_words(text: Column) -> Column:
@@ -66,7 +87,12 @@ def unit_hash(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, 13), 16, 10).cast("double") / F.lit(float(2**52))
 
 
+def columns(df: DataFrame) -> list[Column]:
+    """All columns of df by name, whatever characters the names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
 def replacing(df: DataFrame, *names: str) -> DataFrame:
     """df without columns of these names, which the caller adds; names match as Spark compares them."""
     lower = {n.lower() for n in names}
-    return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in lower])
+    return df.select(*[c for name, c in zip(df.columns, columns(df), strict=True) if name.lower() not in lower])

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fits, lookup
+from .common import cut, fits, lookup, unused
 from .tokens import fold, remembered, slices, split_words, windows
 
 #: Tokens of a template window.
@@ -233,7 +233,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, min_tokens: int = MIN_TOKE
     items = cut(benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.xxhash64("text").alias("text_key"), "text").mapInArrow(_window_rows(list(range(1, WINDOW + 1)), None, True, "item_id"), MATCHES))
     lengths = sorted(r[0] for r in items.select("length").distinct().collect())
     hashes = items.select("window").distinct()
-    wanted = np.sort(np.array([r[0] for r in hashes.collect()], np.int64).view(np.uint64)) if fits(hashes, filter_windows) else None
+    wanted = np.sort(np.array([r[0] for r in hashes.collect()], np.int64).view(np.uint64)) if fits(hashes, filter_windows * 24) else None
     if not lengths:
         lengths, wanted = [WINDOW], np.zeros(1, np.uint64)
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text").mapInArrow(_window_rows(lengths, wanted, False, "doc_id"), MATCHES)
@@ -255,6 +255,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, min_tokens: int = MIN_TOKE
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without those that leak a benchmark item, columns as they are."""
-    leaked = cut(find_leaks(docs, benchmark).select(F.col("doc_id").alias("leak_id")).distinct())
-    return lookup(docs, leaked, F.col("doc_id").eqNullSafe(F.col("leak_id")), "left_anti", 4_000_000)
+    """docs without those that leak a benchmark item, columns as they are, whatever their names."""
+    name = unused("leak_id", docs)
+    leaked = cut(find_leaks(docs, benchmark).select(F.col("doc_id").alias(name)).distinct())
+    return lookup(docs, leaked, F.col("doc_id").cast("long").eqNullSafe(F.col(name)), "left_anti")

@@ -5,13 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fits, lookup
+from .common import cut, lookup, unused
 from .components import components
 from .tokens import fold, shingle_sets, slices
 
@@ -23,8 +22,10 @@ _N = BANDS * ROWS
 _LONGS = _N * BITS // 64
 #: Standard errors by which an estimate may fall short of the threshold before the pair is dropped.
 MARGIN = 6.0
-#: Members, and bytes of shingle sets, of one block of a bucket that is compared in one task.
-BLOCK, BLOCK_BYTES = 1500, 8 << 20
+#: Shingles of the sample, expected, from which the order of shingles is taken.
+ORDER_SHINGLES = 1_000_000
+#: Ratio of the sizes of a class.
+SIZE_CLASS = 1.02
 _NO_ID = -(2**63)
 
 _draw = np.random.default_rng(20240607)
@@ -81,16 +82,8 @@ def _sets(k: int):
     return run
 
 
-def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    """Whether 100 |a and b| >= percent |a or b|, for sorted distinct arrays."""
-    if not len(a) or not len(b) or 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
-        return False
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * both >= percent * (len(a) + len(b) - both)
-
-
 def _confirmed(percent: int) -> F.Column:
-    """_linked for two columns of sets, in the JVM, so that no Arrow batch holds many pairs of sets."""
+    """Whether 100 |u and v| >= percent |u or v|, in the JVM, so that no Arrow batch holds many pairs of sets."""
     both = F.size(F.array_intersect("set_u", "set_v"))
     return both * 100 >= (F.size("set_u") + F.size("set_v") - both) * percent
 
@@ -118,46 +111,46 @@ def _unequal(a: str, b: str) -> F.Column:
     return F.expr(f"aggregate(zip_with({a}, {b}, (x, y) -> bit_count(((x ^ y) | shiftrightunsigned(x ^ y, 1)) & {_ODD_BITS}L)), 0, (n, c) -> n + c)")
 
 
-def _span(percent: int):
-    """Links that join the components of one block, or of two, confirmed on full sets; pairs already joined are skipped."""
-    most = _most_unequal(percent)
-
-    def run(block: pd.DataFrame) -> pd.DataFrame:
-        block = block.sort_values(["part", "node"], kind="stable").reset_index(drop=True)
-        sig = np.array(block["sig"].tolist(), dtype=np.int64).view(np.uint64)
-        node, part, comp = block["node"].to_numpy(), block["part"].to_numpy(), block["comp"].to_numpy()
-        own = block["i"].iloc[0] == block["j"].iloc[0]
-        found = []
-        for a in range(len(node) - 1):
-            x = sig[a] ^ sig[a + 1 :]
-            unequal = np.bitwise_count((x | (x >> np.uint64(1))) & np.uint64(_ODD_BITS)).sum(axis=1)
-            near = np.flatnonzero((unequal <= most) & (comp[a + 1 :] != comp[a]) & ((part[a + 1 :] != part[a]) | own))
-            found += [(int(unequal[b]), a, a + 1 + int(b)) for b in near]
-        root: dict[int, int] = {}
-
-        def top(c: int) -> int:
-            while c in root:
-                c = root[c]
-            return c
-
-        sets, links = {}, []
-        for _, a, b in sorted(found):
-            if (p := top(int(comp[a]))) == (q := top(int(comp[b]))):
-                continue
-            for x in (a, b):
-                if x not in sets:
-                    sets[x] = np.asarray(block["set"].iloc[x], np.int64).view(np.uint64)
-            if _linked(sets[a], sets[b], percent):
-                links.append((int(node[a]), int(node[b])))
-                root[max(p, q)] = min(p, q)
-        return pd.DataFrame(links, columns=["u", "v"], dtype="int64")
+def _prefixes(k: int, percent: int, common: np.ndarray, often: np.ndarray):
+    """Rows (token, node, comp, n, at): of each set of n shingles those that come first in a fixed order, and their places.
+
+    The order is by how often a shingle was met (common, sorted, and often), then by its hash. Two sets that
+    share percent of their union share one of these, whatever the order is.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            sets = shingle_sets(batch.column("text"), k)
+            sizes = np.array([len(s) for s in sets], np.int64)
+            token, owner = np.concatenate([*sets, np.empty(0, np.uint64)]), np.repeat(np.arange(len(sets)), sizes)
+            met = np.zeros(len(token), np.int64)
+            if len(common):
+                near = np.minimum(np.searchsorted(common, token), len(common) - 1)
+                met = np.where(common[near] == token, often[near], 0)
+            order = np.lexsort((token, met, owner))
+            at = np.arange(len(token)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            first = at <= np.repeat(sizes - -(-sizes * percent // 100), sizes)
+            own = pa.array(owner[first])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(token[order][first].view(np.int64)), batch.column("doc_id").take(own), batch.column("comp").take(own), pa.array(np.repeat(sizes, sizes)[first]), pa.array(at[first])],
+                names=["token", "node", "comp", "n", "at"],
+            )
 
     return run
 
 
 def _shingle_sets_of(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     wanted = cut(ids.select(F.col("node").alias("doc_id")).distinct())
-    return lookup(docs, wanted, "doc_id", "left_semi", 2_000_000).mapInArrow(_sets(k), "node long, set array<long>")
+    return lookup(docs, wanted, "doc_id", "left_semi").mapInArrow(_sets(k), "node long, set array<long>")
+
+
+def _confirm(docs: DataFrame, pairs: DataFrame, sigs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Of distinct pairs (u, v) those that link: first by the estimate from packed signatures, then on full sets."""
+    both = pairs.join(sigs.toDF("u", "sig_u"), "u").join(sigs.toDF("v", "sig_v"), "v")
+    likely = cut(both.where(_unequal("sig_u", "sig_v") <= _most_unequal(percent)).select("u", "v"))
+    sets = _shingle_sets_of(docs, likely.select(F.col("u").alias("node")).unionByName(likely.select(F.col("v").alias("node"))), k)
+    checked = likely.join(sets.toDF("u", "set_u"), "u").join(sets.toDF("v", "set_v"), "v")
+    return cut(checked.where(_confirmed(percent)).select("u", "v"))
 
 
 def link(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -167,12 +160,12 @@ def link(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     shingles have 100 |A and B| >= percent |A or B| are linked. component_id is the smallest doc_id
     reachable, and the document with that id is kept. A text of fewer than k words has one shingle; one
     without words, or null, has none and is linked with nothing. Rows that share a doc_id are one
-    document with several texts; null ids share one. An empty table gives no rows.
+    document with several texts; null ids share one. An empty table gives no rows; other columns are not read.
 
     Equal sets form a class, and only its first document goes on. Band keys of the minima make buckets;
     in each, members are compared with the smallest one by bit counts of packed signatures, then on full
-    sets. What a bucket still holds apart after that is compared block by block, so no link inside a
-    bucket is lost and no task holds more than two blocks. Pairs are never listed within a bucket.
+    sets. Where a bucket's members are still in several components, _across finds every link between
+    them without pairing the members. So no link inside a bucket is lost, and no task holds a bucket.
     """
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc_id"), "text")
     sketches = cut(docs.mapInArrow(_sketch(k), "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>, sig array<long>"))
@@ -185,13 +178,7 @@ def link(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     banded = reps.select("node", F.explode("bands").alias("key"))
     shared = cut(banded.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader != last").select("key", "leader"))
     members = cut(lookup(banded, shared, "key", "inner").where("node != leader"))
-
-    pairs = members.select(F.col("node").alias("u"), F.col("leader").alias("v")).distinct()
-    both = pairs.join(sigs.toDF("u", "sig_u"), "u").join(sigs.toDF("v", "sig_v"), "v")
-    likely = cut(both.where(_unequal("sig_u", "sig_v") <= _most_unequal(percent)).select("u", "v"))
-    sets = _shingle_sets_of(docs, likely.select(F.col("u").alias("node")).unionByName(likely.select(F.col("v").alias("node"))), k)
-    checked = likely.join(sets.toDF("u", "set_u"), "u").join(sets.toDF("v", "set_v"), "v")
-    links = cut(checked.where(_confirmed(percent)).select("u", "v"))
+    links = _confirm(docs, members.select(F.col("node").alias("u"), F.col("leader").alias("v")).distinct(), sigs, k, percent)
 
     # rows that share an id hold their classes together
     shared_id = named.groupBy("doc_id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo != hi")
@@ -200,7 +187,8 @@ def link(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 
     apart = _apart(members, found)
     if not apart.isEmpty():
-        links = links.unionByName(_within(docs, members, apart, found, reps, k, percent))
+        pairs = _across(docs, apart, reps, k, percent)
+        links = links.unionByName(_confirm(docs, pairs, sigs, k, percent))
         found = cut(components(cut(links)))
     joined = named.select("doc_id", "n_shingles", "rep", "n_copies").join(found.withColumnRenamed("node", "rep"), "rep", "left")
     component = F.coalesce("component", "rep")
@@ -209,26 +197,51 @@ def link(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 
 
 def _apart(members: DataFrame, found: DataFrame) -> DataFrame:
-    """Buckets whose members, but for the smallest, lie in several components; of buckets with the same members, one."""
-    placed = members.join(found, "node", "left").withColumn("comp", F.coalesce("component", "node"))
-    counted = placed.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("mark"))
-    return cut(counted.where("lo != hi").groupBy("n", "mark").agg(F.min("key").alias("key")).select("key", "n"))
+    """(node, comp) of the members, but for the smallest, of buckets in which they lie in several components."""
+    placed = cut(members.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp")))
+    several = cut(placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("key"))
+    return cut(lookup(placed, several, "key", "left_semi").select("node", "comp").distinct())
+
 
+def _across(docs: DataFrame, apart: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame:
+    """Distinct pairs (u, v) of nodes of different components, with every pair among them that links.
 
-def _within(docs: DataFrame, members: DataFrame, apart: DataFrame, found: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame:
-    inside = cut(lookup(members.select("key", "node"), apart, "key", "inner"))
-    nodes = inside.select("node").distinct()
-    sized = cut(nodes.join(reps.select("node", "n_shingles", "sig"), "node").join(found, "node", "left").select("node", "n_shingles", "sig", F.coalesce("component", "node").alias("comp")))
-    full = inside.join(sized.select("node", "n_shingles"), "node")
-    blocks = full.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") * 8 / BLOCK_BYTES), F.lit(1)).cast("int").alias("blocks"))
-    part = F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int")
-    parted = inside.join(blocks, "key").withColumn("part", part)
-    dealt = parted.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("part", "other")).withColumn("j", F.greatest("part", "other"))
-    rows = dealt.select("key", "i", "j", "node", "part").join(sized.select("node", "sig", "comp"), "node").join(_shingle_sets_of(docs, nodes, k), "node")
-    return cut(rows.groupBy("key", "i", "j").applyInPandas(_span(percent), "u long, v long").distinct())
+    An exact similarity join on the first shingles of each set, in an order that puts rare ones first. Let
+    t be the first shingle that two sets of n and m share, at places i and j: they share n - i at most, and
+    m - j, so linking bounds m by n and i, and n by m and j. Copies of one text that do not link differ by
+    more shingles than that leaves, so their first ones are their own rare ones and few pairs meet, however
+    large the group is. Of a shingle's sets, those of its most frequent component are only looked up, by
+    those of other components, in classes of the sizes that the bound allows.
+
+    The order comes from a sample of about ORDER_SHINGLES shingles. It settles how many pairs meet, not which link.
+    """
+    nodes = cut(apart.join(reps.select("node", "n_shingles"), "node"))
+    total = nodes.agg(F.sum("n_shingles")).first()[0] or 0
+    drawn = nodes.where(F.pmod(F.xxhash64("node", F.lit(11)), F.lit(1 << 30)) < F.lit(int((1 << 30) * min(1.0, ORDER_SHINGLES / max(total, 1)))))
+    met = _shingle_sets_of(docs, drawn, k).select(F.explode("set").alias("token")).groupBy("token").count().where("count > 1").toPandas()
+    common = met["token"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(common)
+    wanted = nodes.select(F.col("node").alias("doc_id"), "comp")
+    first = lookup(docs, wanted, "doc_id", "inner").mapInArrow(_prefixes(k, percent, common[order], met["count"].to_numpy(np.int64)[order]), "token long, node long, comp long, n long, at long")
+    first = cut(first)
+
+    per = first.groupBy("token", "comp").agg(F.count("*").alias("held")).groupBy("token")
+    mixed = cut(per.agg(F.max_by("comp", F.struct("held", "comp")).alias("main"), F.count("*").alias("comps")).where("comps > 1").select("token", "main"))
+    rows = lookup(first, mixed, "token", "inner")
+    # the largest size of a set that can link with this one through this shingle
+    rows = cut(rows.withColumn("most", F.expr(f"(n * 100 - at * {100 + percent}) DIV {percent}")))
+    step = lambda n: F.floor(F.log(n.cast("double")) / F.lit(np.log(SIZE_CLASS))).cast("int")
+    least = F.expr(f"(n * {percent} + 99) DIV 100")
+    most = F.least("most", F.expr(f"n * 100 DIV {percent}"))
+    probes = rows.where((F.col("comp") != F.col("main")) & (least <= most))
+    probes = probes.select("token", F.explode(F.sequence(step(least), step(most))).alias("class"), F.struct("node", "comp", "n", "most").alias("x"))
+    stock = rows.select("token", step(F.col("n")).alias("class"), F.struct("node", "comp", "n", "most").alias("y"))
+    pairs = probes.join(stock, ["token", "class"]).where("x.comp != y.comp AND y.n <= x.most AND x.n <= y.most")
+    return cut(pairs.select(F.greatest("x.node", "y.node").alias("u"), F.least("x.node", "y.node").alias("v")).where("u != v").distinct())
 
 
 def dedup(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """docs without the documents that link() does not keep: one document of each component stays, columns as they are."""
-    gone = cut(link(docs, k, percent).where("NOT kept").select(F.col("doc_id").alias("gone_id")).distinct())
-    return lookup(docs, gone, F.col("doc_id") == F.col("gone_id"), "left_anti", 4_000_000)
+    """docs without the documents that link() does not keep: one document of each component stays, columns as they are, whatever their names."""
+    name = unused("gone_id", docs)
+    gone = cut(link(docs, k, percent).where("NOT kept").select(F.col("doc_id").alias(name)).distinct())
+    return lookup(docs, gone, F.col("doc_id").cast("long") == F.col(name), "left_anti")

@@ -57,7 +57,7 @@ def write_deduplicated(pages: DataFrame, path: str, date: str = "2024-01-01T00:0
     firsts = headers.groupBy("digest").agg(F.min_by(F.struct("page_id", "url"), F.struct(F.col("page_id").isNull(), "page_id", F.coalesce("url", F.lit("")))).alias("first"), F.count("*").alias("n"))
     firsts = cut(firsts.where("n > 1").select("digest", "first"))
     total, rows = headers.agg(F.sum("bytes"), F.count("*")).first()
-    joined = lookup(hashed, firsts, "digest", rows=100_000).withColumn("revisit", F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first.page_id")))
+    joined = lookup(hashed, firsts, "digest").withColumn("revisit", F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first.page_id")))
     revisit = F.col("revisit")
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{EOL}Content-Type: text/html; charset=utf-8{EOL}Content-Length: "), F.col("bytes").cast("string"), F.lit(EOL + EOL))
     block = F.concat(http, F.when(revisit, F.lit("")).otherwise(F.col("payload")))

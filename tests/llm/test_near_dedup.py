@@ -109,8 +109,50 @@ def test_word_hashes_do_not_depend_on_slices():
     assert len(parts) == len(whole) and all((a == b).all() for a, b in zip(whole, parts, strict=True))
 
 
-def test_blocks_of_large_buckets(spark, monkeypatch):
-    monkeypatch.setattr(near_dedup, "BLOCK", 3)
-    rows = corpus(4)
+def near_copies(words, n, changes, seed, start=0):
+    """n copies of one text with random words changed; none of them is the text itself."""
+    draw = random.Random(seed)
+    base = ["b%d" % i for i in range(words)]
+    rows = []
+    for i in range(n):
+        own = list(base)
+        for _ in range(draw.randint(*changes)):
+            own[draw.randrange(words)] = "x%d" % draw.randrange(10**6)
+        if draw.random() < 0.3:
+            own = own[: draw.randint(words * 8 // 10, words)]
+        rows.append((start + i, " ".join(own)))
+    return rows
+
+
+@pytest.mark.parametrize("order", [1_000_000, 50])
+def test_large_groups_of_near_copies(spark, monkeypatch, order):
+    # around the threshold, so that buckets hold several components, single ones and links that no leader finds
+    monkeypatch.setattr(near_dedup, "ORDER_SHINGLES", order)
+    rows = near_copies(120, 250, (4, 18), 1) + near_copies(90, 150, (6, 12), 2, 1000)
     got = {r.doc_id: r.component_id for r in near_dedup.link(spark.createDataFrame(rows, "doc_id long, text string").repartition(3, F.col("doc_id")), 2, 80).collect()}
     assert got == {i: c for i, (_, c) in brute(rows, 2, 80).items()}
+
+
+@pytest.mark.parametrize("percent", [60, 80, 95])
+def test_across_finds_every_link_between_components(spark, percent):
+    rows = near_copies(60, 120, (0, 14), 3)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = {i: {(a, b) for a, b in zip(t.split(), t.split()[1:], strict=False)} for i, t in rows}
+    nodes = spark.createDataFrame([(i, i % 7) for i, _ in rows], "node long, comp long")
+    reps = spark.createDataFrame([(i, len(s)) for i, s in sets.items()], "node long, n_shingles long")
+    want = {(a, b) for a in sets for b in sets if a > b and a % 7 != b % 7 and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])}
+    got = {(r.u, r.v) for r in near_dedup._across(df, nodes, reps, 2, percent).collect()}
+    assert want and want <= got and all(a > b and a % 7 != b % 7 for a, b in got)
+
+
+def test_clashing_names(spark):
+    df = spark.createDataFrame([(1, "a b c d e f", "x", 1), (2, "a b c d e f", "y", 2)], "doc_id long, text string, gone_id string, Component_ID int")
+    kept = near_dedup.dedup(df)
+    assert kept.columns == df.columns and [tuple(r) for r in kept.collect()] == [(1, "a b c d e f", "x", 1)]
+
+
+def test_broadcast_bound_counts_bytes(spark):
+    from chromill.llm.common import fits
+
+    df = spark.createDataFrame([(i, "x" * 1000, [1, 2]) for i in range(100)], "a long, b string, c array<int>")
+    assert fits(df, 200_000) and not fits(df, 100_000) and not fits(df, 2_000) and fits(df.limit(0), 0)
