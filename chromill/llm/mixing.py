@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, lookup, replacing, size_words, unit_hash
+from .common import columns, cut, lookup, replacing, size_words, unit_hash, unused
 
 #: Weights are dealt to the sources in order and repeat.
 WEIGHTS = (5, 2, 1)
@@ -52,6 +52,19 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int
     return ranked.withColumn("target", target).withColumn("rate", rate)
 
 
+def _planned(docs: DataFrame, size: Column | None, weights: Sequence[int], cap: int, seed: str, plan: str) -> DataFrame:
+    """docs and a struct named plan of size, source_size, target, rate and copies; all names of docs stay."""
+    key = unused("mix_source_key", docs)
+    held = unused("mix_size", docs)
+    sized = docs.withColumn(held, size_words(F.col("text")) if size is None else size)
+    targets = cut(source_targets(sized.select("source", F.col(held).alias("size")), weights, cap).select(F.col("source").alias(key), F.struct("source_size", "target", "rate").alias(plan)))
+    joined = lookup(sized, targets, F.col("source").eqNullSafe(F.col(key)), "inner")
+    draw = unit_hash(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    rate = F.col(f"{plan}.rate")
+    copies = (F.floor(rate) + (draw < rate - F.floor(rate)).cast("long")).cast("long")
+    return joined.select(*columns(docs), F.struct(F.col(held).alias("size"), f"{plan}.source_size", f"{plan}.target", f"{plan}.rate", copies.alias("copies")).alias(plan))
+
+
 def plan_copies(docs: DataFrame, size: Column | None = None, weights: Sequence[int] = WEIGHTS, cap: int = CAP, seed: str = "mix") -> DataFrame:
     """docs with size, source_size, target, rate and copies: how often the mix takes each document.
 
@@ -60,18 +73,13 @@ def plan_copies(docs: DataFrame, size: Column | None = None, weights: Sequence[i
     draw. A null text has size 0, a null source is a source of its own, a null doc_id hashes as ''.
     Columns of docs with one of the added names are replaced; all others are kept.
     """
-    added = ("size", "source_size", "target", "rate", "copies")
-    sized = replacing(docs, *added).withColumn("size", size_words(F.col("text")) if size is None else size)
-    targets = cut(source_targets(sized.select("source", "size"), weights, cap).select("source", "source_size", "target", "rate"))
-    named = targets.withColumnRenamed("source", "mix_source_key")
-    joined = lookup(sized, named, F.col("source").eqNullSafe(F.col("mix_source_key")), "inner").drop("mix_source_key")
-    draw = unit_hash(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    whole = F.floor("rate")
-    return joined.withColumn("copies", (whole + (draw < F.col("rate") - whole).cast("long")).cast("long"))
+    kept = replacing(docs, "size", "source_size", "target", "rate", "copies")
+    plan = unused("mix_plan", docs)
+    return _planned(docs, size, weights, cap, seed, plan).select(*columns(kept), f"{plan}.*")
 
 
-def mix(docs: DataFrame, **how) -> DataFrame:
-    """The mix itself: each document as often as plan_copies says, with docs' columns only."""
-    planned = plan_copies(docs, **how).where("copies > 0")
-    kept = [F.col(f"`{c}`") for c in docs.columns if c in planned.columns]
-    return planned.withColumn("mix_copy_no", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*kept)
+def mix(docs: DataFrame, size: Column | None = None, weights: Sequence[int] = WEIGHTS, cap: int = CAP, seed: str = "mix") -> DataFrame:
+    """The mix itself: each document as often as plan_copies says, with docs' columns as they are, whatever their names."""
+    plan, number = unused("mix_plan", docs), unused("mix_copy_no", docs)
+    planned = _planned(docs, size, weights, cap, seed, plan).where(F.col(f"{plan}.copies") > 0)
+    return planned.withColumn(number, F.explode(F.sequence(F.lit(1), F.col(f"{plan}.copies").cast("int")))).select(*columns(docs))

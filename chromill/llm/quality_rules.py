@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, WORD, cut, lookup, replacing
+from .common import WHITE, WORD, columns, cut, lookup, unused
 
 #: Characters counted as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -97,14 +97,15 @@ def judge(docs: DataFrame, host: str = "source", line_share: float = LINE_SHARE,
 
 
 def _kept(docs: DataFrame, judged: DataFrame, host: str) -> DataFrame:
-    gone = cut(judged.where(~F.col("kept")).select(F.col("host").alias("gone_host"), F.col("key_1").alias("gone_1"), F.col("key_2").alias("gone_2")).distinct())
+    of_host, one, two = (unused(n, docs) for n in ("gone_host", "gone_1", "gone_2"))
+    gone = cut(judged.where(~F.col("kept")).select(F.col("host").alias(of_host), F.col("key_1").alias(one), F.col("key_2").alias(two)).distinct())
     text = F.coalesce(F.col("text"), F.lit(""))
-    on = F.col(host).eqNullSafe(F.col("gone_host")) & (F.xxhash64(text) == F.col("gone_1")) & (F.xxhash64(F.lit(1), text) == F.col("gone_2"))
+    on = F.col(host).eqNullSafe(F.col(of_host)) & (F.xxhash64(text) == F.col(one)) & (F.xxhash64(F.lit(1), text) == F.col(two))
     return lookup(docs, gone, on, "left_anti")
 
 
 def keep(docs: DataFrame, host: str = "source", **how) -> DataFrame:
-    """The documents that judge() keeps, with docs' columns. Texts stay as they are."""
+    """The documents that judge() keeps, with docs' columns, whatever their names. Texts stay as they are."""
     return _kept(docs, judge(docs, host, **how), host)
 
 
@@ -114,17 +115,18 @@ def clean(docs: DataFrame, host: str = "source", line_share: float = LINE_SHARE,
     left = strip_lines(_kept(docs, judged, host), frequent, host)
     if "n_chars" in docs.columns:
         left = left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return left.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return left
 
 
 def strip_lines(docs: DataFrame, frequent: DataFrame, host: str = "source") -> DataFrame:
-    """docs with boilerplate lines cut out of their texts; frequent holds (of_host, of_line) hashes, few enough to send along.
+    """docs with boilerplate lines cut out of their texts; frequent holds (of_host, of_line) hashes.
 
     A host's line hashes come as one array, so no text is exploded; a host without any keeps its texts.
+    All columns of docs stay in their places, whatever their names.
     """
-    sets = frequent.groupBy("of_host").agg(F.collect_set("of_line").alias("strip_hashes"))
-    joined = lookup(docs, cut(sets), F.col(host).eqNullSafe(F.col("of_host")))
-    kept = F.filter(F.split("text", "\n"), lambda x: ~F.coalesce(F.array_contains("strip_hashes", F.xxhash64(_normal(x))), F.lit(False)))
-    names = [c for c in docs.columns if c != "text"]
-    text = F.when(F.col("strip_hashes").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    return replacing(joined.withColumn("text", text), "of_host", "strip_hashes").select(*names, "text")
+    key, held = unused("of_host", docs), unused("strip_hashes", docs)
+    sets = frequent.groupBy(F.col("of_host").alias(key)).agg(F.collect_set("of_line").alias(held))
+    joined = lookup(docs, cut(sets), F.col(host).eqNullSafe(F.col(key)))
+    kept = F.filter(F.split("text", "\n"), lambda x: ~F.coalesce(F.array_contains(held, F.xxhash64(_normal(x))), F.lit(False)))
+    text = F.when(F.col(held).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    return joined.select(*[text.alias(n) if n == "text" else c for n, c in zip(docs.columns, columns(docs), strict=True)])
