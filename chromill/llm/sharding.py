@@ -24,18 +24,23 @@ WHOLE = 0.05
 _TEXT = 16
 
 
-def _key() -> F.Column:
-    """A text's hash, then doc_id, as hexadecimal of fixed width: equal texts are neighbours, and a group of them can be divided."""
+def _key(others: list[F.Column]) -> F.Column:
+    """Hashes of text, doc_id and others as hexadecimal of fixed width: equal texts are neighbours, and a group of them can be divided."""
     wide = lambda c: F.lpad(F.hex(c), 16, "0")
-    return F.concat(wide(F.xxhash64("text")), wide(F.coalesce(F.col("doc_id"), F.lit(0)).cast("long")))
+    parts = [F.xxhash64("text"), F.coalesce(F.col("doc_id"), F.lit(0)).cast("long"), F.xxhash64(*others) if others else F.lit(0).cast("long")]
+    return F.concat(*map(wide, parts))
+
+
+#: Rows that one repeated row is dealt out in at a time.
+CHUNK = 65_536
 
 
 def _range_of(splitters: list[str]):
-    edges = np.array(splitters, dtype="S32")
+    edges = np.array(splitters, dtype="S48")
 
     @F.pandas_udf("int")
     def place(key: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(edges, key.to_numpy().astype("S32"), side="right").astype("int32"))
+        return pd.Series(np.searchsorted(edges, key.to_numpy().astype("S48"), side="right").astype("int32"))
 
     return place
 
@@ -128,28 +133,54 @@ def _segments(stats: list[tuple], n_shards: int) -> list[tuple[int, int, int, in
     return out
 
 
+def _dealt(hot: DataFrame, segments: DataFrame) -> DataFrame:
+    """kept, size, shard and slot of ranges that hold one row many times over.
+
+    The repeats are counted, which combines before the shuffle, and the counts dealt out to the segments in
+    chunks, so no task orders or holds all of them.
+    """
+    counted = hot.groupBy("shard_range", "kept", "size").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("shard_range").orderBy(F.xxhash64("kept"))) - F.col("n")
+    met = counted.withColumn("before", before).join(F.broadcast(segments), "shard_range")
+    low, high = F.greatest("first", "before"), F.least(F.col("last"), F.col("before") + F.col("n") - 1)
+    spans = met.withColumn("low", low).withColumn("high", high).where("low <= high")
+    chunks = spans.withColumn("low", F.explode(F.sequence("low", "high", F.lit(CHUNK).cast("long")))).repartition("shard_range", "low")
+    rows = chunks.withColumn("row", F.explode(F.sequence(F.col("low"), F.least(F.col("high"), F.col("low") + CHUNK - 1))))
+    return rows.select("kept", "size", "shard", (F.col("row") + F.col("shift")).alias("slot"))
+
+
 def shard(docs: DataFrame, n_shards: int = 16, ranges_per_shard: int = RANGES_PER_SHARD, sample: int = SAMPLE, columns: list[str] | None = None) -> DataFrame:
     """docs with size (UTF-8 bytes plus 1), shard and slot; sizes of shards are near equal, slots gapless from 0.
 
     Keys are drawn with chances by size, their weighted quantiles cut the key order into
     ranges, ranges that turn out overfull are sampled and divided again, and ranges fill the shards in
-    order. The order is by text hash, then doc_id; ranges begin with a text, so equal texts share a shard
-    unless together they exceed WHOLE of a shard, when ranges cut them by doc_id. Rows alike in text and doc_id share a key; if one such key
-    overfills its range it is divided by row. A null or empty text has size 1; a null doc_id sorts as 0.
-    An empty table gives no rows. Columns of docs named like the added ones are replaced.
+    order. The order is by text hash, then doc_id, then a hash of the columns that are carried; ranges begin
+    with a text, so equal texts share a shard unless together they exceed WHOLE of a shard, when ranges cut
+    them by doc_id. Rows alike in all carried columns share a key; if one such key overfills its range its
+    repeats are counted and dealt out. (Carried columns that hold maps cannot be compared: repeats are then
+    numbered in one task.) A null or empty text has size 1; a null doc_id sorts as 0.
+    An empty table gives no rows. Columns of docs named like the added ones are replaced; other names clash with nothing.
 
     columns: which of docs' columns to carry along (all by default); rows are shuffled once, by range,
     for slots, and ranges shrink with the number of shards, not with the largest text group.
     """
     spark = docs.sparkSession
-    docs = replacing(docs, "size", "shard", "slot", "shard_key", "shard_range")
-    carried = docs.columns if columns is None else [c for c in columns if c in docs.columns]
-    keyed = docs.withColumn("shard_key", _key()).withColumn("size", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1)
+    docs = replacing(docs, "size", "shard", "slot")
+    carried = [c for c in docs.columns if columns is None or c in columns]
+    own = [F.col("`" + c.replace("`", "``") + "`") for c in carried]
+    alike = [c for c, name in zip(own, carried, strict=True) if name not in ("text", "doc_id") and "map<" not in docs.schema[name].dataType.simpleString()]
+    keyed = docs.select(F.struct(*own).alias("kept"), _key(alike).alias("shard_key"), (F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1).alias("size"))
     narrow = cut(keyed.select("shard_key", "size"))
     splitters, stats = splitters_for(narrow, n_shards * ranges_per_shard, sample)
-    segments = spark.createDataFrame(_segments(stats, n_shards), "shard_range int, first long, last long, shard int, shift long")
     # at most a few rows a range, and ranges are bounded by the number of shards
+    segments = spark.createDataFrame(_segments(stats, n_shards), "shard_range int, first long, last long, shard int, shift long")
+    bound = OVERFULL * sum(s[1] for s in stats) / max(1, n_shards * ranges_per_shard)
+    hot = [r for r, held, rows, divisible, _ in stats if not divisible and rows > 1 and held > bound and "map<" not in keyed.schema["kept"].dataType.simpleString()]
+    placed = keyed.withColumn("shard_range", _range_of(splitters)("shard_key"))
     row = F.row_number().over(Window.partitionBy("shard_range").orderBy("shard_key")) - 1
-    placed = keyed.select(*[F.col(f"`{c}`") for c in carried], "size", "shard_key").withColumn("shard_range", _range_of(splitters)("shard_key")).withColumn("row", row)
-    joined = placed.join(F.broadcast(segments.withColumnRenamed("shard_range", "in_range")), (F.col("shard_range") == F.col("in_range")) & F.col("row").between(F.col("first"), F.col("last")))
-    return joined.withColumn("slot", (F.col("row") + F.col("shift")).cast("long")).select(*[F.col(f"`{c}`") for c in carried], "size", "shard", "slot")
+    numbered = placed.where(~F.col("shard_range").isin(hot)).withColumn("row", row) if hot else placed.withColumn("row", row)
+    out = numbered.join(F.broadcast(segments), "shard_range").where(F.col("row").between(F.col("first"), F.col("last")))
+    out = out.select("kept", "size", "shard", (F.col("row") + F.col("shift")).cast("long").alias("slot"))
+    if hot:
+        out = out.unionByName(_dealt(placed.where(F.col("shard_range").isin(hot)).select("shard_range", "kept", "size"), segments))
+    return out.select("kept.*", "size", "shard", "slot")
