@@ -6,6 +6,7 @@ import re
 import zlib
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -202,6 +203,45 @@ def test_quality_model_on_held_out_labels(spark):
     assert r[0] > 0.9 and r[1] > 0.95
 
 
+def test_posteriors_of_unannotated_documents_reach_the_scores(spark, monkeypatch):
+    folder = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    before = {r.doc_id: (r.quality, r.toxic) for r in quality_model.score(docs, labels).collect()}
+    fit = quality_model.fit_label_model
+
+    def other(counts, *how):
+        model = fit(counts, *how)
+        model.posterior.update({v: 0.123 for v in model.posterior if not v[0]})
+        return model
+
+    monkeypatch.setattr(quality_model, "fit_label_model", other)
+    after = {r.doc_id: (r.quality, r.toxic) for r in quality_model.score(docs, labels).collect()}
+    for column in (0, 1):
+        assert sum(abs(before[i][column] - after[i][column]) > 1e-3 for i in before) > 0.7 * len(before)
+
+
+def test_annotator_is_a_labeller_whose_accuracy_is_estimated():
+    # the annotator contradicts four labellers, who agree with one another, in a fifth of its votes
+    counts = {(0, 1, 1, 1, 1): 300, (0, -1, -1, -1, -1): 300, (1, 1, 1, 1, 1): 80, (-1, -1, -1, -1, -1): 80, (1, -1, -1, -1, -1): 20, (-1, 1, 1, 1, 1): 20}
+    model = quality_model.fit_label_model(counts)
+    assert 0.7 < quality_model.fit_label_model(counts, trust=0.0).on_true[0][1] < 0.85 < model.on_true[0][1] < 0.95
+    assert model.posterior[(1, -1, -1, -1, -1)] < 0.1 and model.posterior[(-1, 1, 1, 1, 1)] > 0.9
+
+
+def test_quality_model_without_labels(spark):
+    folder = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet").where("doc_id < 3000"), spark.read.parquet(f"{folder}/labels.parquet")
+    got = quality_model.score(docs).withColumnsRenamed({"quality": "q", "toxic": "t"}).join(labels, "doc_id")
+    r = got.agg(F.avg(((F.col("q") >= 0.5) == (F.col("quality") == 1)).cast("double")), F.avg(((F.col("t") > 0.5) == (F.col("toxic") == 1)).cast("double"))).first()
+    assert r[0] > 0.95 and r[1] > 0.93
+
+
+def test_silent_rows_weigh_a_third_of_the_annotators():
+    known, found = np.array([True] * 30 + [False] * 70), np.array([True] * 10 + [False] * 20 + [True] * 5 + [False] * 65)
+    weights = quality_model.weigh(known, found)
+    assert weights[:35].tolist() == [1.0] * 35 and weights[35:].sum() == pytest.approx(10)
+
+
 def test_quality_model_edges(spark):
     empty = spark.createDataFrame([], DOCS)
     assert quality_model.score(empty).count() == 0
@@ -334,7 +374,7 @@ def test_variety_and_shapes_are_of_whole_texts():
     at = quality_model.QUALITY_LABELLERS.index("variety") - 1
     votes = [r["quality"][at] for b in quality_model._label(iter([batch])) for r in b.to_pylist()]
     assert votes[:4] == [-1, 0, -1, 0]
-    assert quality_model._word("a1" * 32 + "-")[2] != quality_model._word("a1" * 32 + "B")[2]
+    assert quality_model._word("a1" * 32 + "-")[1] != quality_model._word("a1" * 32 + "B")[1]
 
 
 def test_long_secrets_are_candidates(spark):
