@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, replacing
+from .common import columns, cut, unused
 
 # The base kinds' patterns. Possessive forms of the plain ones, which match the same
 # spans but neither backtrack nor recurse, however long a run is.
@@ -39,6 +40,8 @@ CONTEXT = {
 #: Words before a span that speak against any kind.
 AGAINST = "version|release|isbn|page|section|commit|sha|rev|uuid|checksum"
 CONTEXT_CHARS = 24
+#: Beyond the last place of any text.
+_LAST = 2**31 - 1
 LABELERS = ("pattern", "gazetteer", "context", "shape")
 
 
@@ -108,11 +111,35 @@ def _shape(kind: str, matched: Column, digits: Column, before: Column) -> Column
     return F.when(before.rlike("[A-Za-z0-9]$"), -1).otherwise(1)
 
 
+def _running(values: Column, combine: Callable[[Column, Column], Column]) -> Column:
+    """Of each place of an array of whole numbers above 0 what combine makes of all before it, from 0 on.
+
+    A fold that appends copies its array each time; so blocks of about the root of the length are folded,
+    each from what those before it come to, and a text of n matches takes n to the power of 1.5 copies of a number.
+    values should be a column, as it is read once a block.
+    """
+    step = F.ceil(F.sqrt(F.size(values).cast("double"))).cast("int")
+    zero, none = F.lit(0), F.array().cast("array<int>")
+    blocks = F.transform(F.sequence(F.lit(1), F.size(values), step), lambda at: F.slice(values, at, step))
+
+    def within(first: Column, block: Column) -> Column:
+        start = F.struct(first.alias("now"), none.alias("out"))
+        return F.aggregate(block, start, lambda a, x: F.struct(combine(a.now, x).alias("now"), F.concat(a.out, F.array(a.now)).alias("out")), lambda a: a.out)
+
+    firsts = within(zero, F.transform(blocks, lambda b: F.aggregate(b, zero, combine)))
+    return F.when(F.size(values) > 0, F.flatten(F.zip_with(firsts, blocks, within))).otherwise(none)
+
+
+def _most(x: Column, y: Column) -> Column:
+    return F.greatest(x, y)
+
+
 def candidates(docs: DataFrame) -> DataFrame:
     """doc_id and spans, an array of (kind, start, stop, base, votes): each candidate with what each labeler says of it.
 
     start and stop count code points, stop exclusive. base tells the spans of the base rules. votes holds
-    1, 0 (no opinion) or -1 in the order of LABELERS, then a bin of the length. Null texts have none.
+    1, 0 (no opinion) or -1 in the order of LABELERS, then a bin of the length. The context of a candidate
+    is what stands before it, back to the last match of its kind. Null texts have none.
     """
     docs = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
     none = F.array().cast("array<string>")
@@ -120,14 +147,14 @@ def candidates(docs: DataFrame) -> DataFrame:
     for kind in KINDS:
         docs = docs.withColumn(f"m_{kind}", F.when(_gate(kind), F.regexp_extract_all("text", F.lit(patterns[kind]), F.lit(0))).otherwise(none))
     docs = docs.select("*", *[F.when(F.size(f"m_{k}") > 0, F.split("text", patterns[k], -1)).otherwise(none).alias(f"p_{k}") for k in KINDS])
-    place = "aggregate(sequence(0, size(m_{0}) - 1), struct(0 AS at, cast(array() AS array<struct<start:int,matched:string>>) AS found), (a, i) -> struct(a.at + length(p_{0}[i]) + length(m_{0}[i]) AS at, concat(a.found, array(struct(a.at + length(p_{0}[i]) AS start, m_{0}[i] AS matched))) AS found), a -> a.found)"
-    empty = "cast(array() AS array<struct<start:int,matched:string>>)"
-    docs = docs.select("doc_id", "text", *[F.expr(f"CASE WHEN size(m_{k}) > 0 THEN {place.format(k)} ELSE {empty} END").alias(f"s_{k}") for k in KINDS])
+    lengths = lambda k: F.zip_with(F.slice(f"p_{k}", 1, F.size(f"m_{k}")), f"m_{k}", lambda p, m: F.length(p) + F.length(m))
+    docs = docs.select("*", *[lengths(k).alias(f"n_{k}") for k in KINDS])
+    docs = docs.select("doc_id", *[F.arrays_zip(F.slice(f"p_{k}", 1, F.size(f"m_{k}")).alias("before"), F.col(f"m_{k}").alias("matched"), _running(F.col(f"n_{k}"), lambda x, y: x + y).alias("at")).alias(f"s_{k}") for k in KINDS])
 
     def voted(kind: str) -> Column:
         def digits(x: Column) -> Column:
-            before = F.lower(F.substring(F.col("text"), F.greatest(x.start - CONTEXT_CHARS, F.lit(0)) + 1, F.least(x.start, F.lit(CONTEXT_CHARS))))
-            return F.struct(x.start.alias("start"), x.matched.alias("matched"), F.regexp_replace(x.matched, "[^0-9]", "").alias("digits"), before.alias("before"))
+            start, before = (x["at"] + F.length(x.before)).alias("start"), F.lower(F.right(x.before, F.lit(CONTEXT_CHARS))).alias("before")
+            return F.struct(start, x.matched.alias("matched"), F.regexp_replace(x.matched, "[^0-9]", "").alias("digits"), before)
 
         def vote(x: Column) -> Column:
             holds = _holds(kind, x.matched, x.digits)
@@ -205,14 +232,24 @@ def detect(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     cutoff = math.log(threshold / (1 - threshold))
     accepted = [k + "|" + ",".join(map(str, v)) for k, v, _ in patterns if k in ADDED and weights["bias"] + sum(weights[f] for f in _features(k, v)) >= cutoff]
     chosen = F.array(*[F.lit(a) for a in accepted]) if accepted else F.array().cast("array<string>")
-    base = F.filter("spans", lambda x: x.base)
-
-    def added(x: Column) -> Column:
-        free = ~F.exists("base_spans", lambda b: (b.start < x.stop) & (x.start < b.stop))
-        return x.kind.isin(*ADDED) & F.array_contains("chosen", F.concat_ws("|", x.kind, F.array_join(x.votes, ","))) & free
-
-    kept = F.concat("base_spans", F.filter("spans", added))
-    return found.withColumn("base_spans", base).withColumn("chosen", chosen).select("doc_id", F.transform(kept, lambda x: F.struct(x.kind.alias("kind"), x.start.alias("start"), x.stop.alias("stop"), x.base.alias("base"))).alias("spans"))
+    found = found.withColumn("chosen", chosen).select(
+        "doc_id", F.filter("spans", lambda x: x.base).alias("base_spans"),
+        F.filter("spans", lambda x: x.kind.isin(*ADDED) & F.array_contains("chosen", F.concat_ws("|", x.kind, F.array_join(x.votes, ",")))).alias("more_spans"),
+    )
+    plain = lambda spans: F.transform(spans, lambda x: F.struct(x.kind.alias("kind"), x.start.alias("start"), x.stop.alias("stop"), x.base.alias("base")))
+    met = (F.size("base_spans") > 0) & (F.size("more_spans") > 0)
+    place = lambda x: F.struct(x.start.cast("int").alias("start"), (~x.base).alias("more"), x.stop.cast("int").alias("stop"), x.kind.alias("kind"))
+    both = F.when(met, F.array_sort(F.concat(F.transform("base_spans", place), F.transform("more_spans", place)))).otherwise(F.array().cast("array<struct<start:int,more:boolean,stop:int,kind:string>>"))
+    staged = found.withColumn("both", both)
+    # how far the base spans before reach; and, from the end, how near to the end of the text the next one begins
+    staged = staged.withColumn("reach", F.transform("both", lambda x: F.when(x.more, 0).otherwise(x.stop))).withColumn("ahead", F.reverse(F.transform("both", lambda x: F.when(x.more, 0).otherwise(F.lit(_LAST) - x.start))))
+    staged = staged.withColumn("reach", _running(F.col("reach"), _most)).withColumn("ahead", F.reverse(_running(F.col("ahead"), _most)))
+    free = F.filter(F.arrays_zip(F.col("both").alias("span"), F.col("reach").alias("reach"), F.col("ahead").alias("ahead")), lambda x: x.span.more & (x.reach <= x.span.start) & (F.lit(_LAST) - x.ahead >= x.span.stop))
+    added = F.transform(free, lambda x: F.struct(x.span.kind.alias("kind"), x.span.start.cast("long").alias("start"), x.span.stop.cast("long").alias("stop"), F.lit(False).alias("base")))
+    of = lambda kind: F.filter("added", lambda x: x.kind == F.lit(kind))
+    in_order = F.concat(*map(of, ADDED))
+    staged = staged.withColumn("added", F.when(met, added).otherwise(plain(F.col("more_spans"))))
+    return staged.select("doc_id", F.concat(plain(F.col("base_spans")), in_order).alias("spans"))
 
 
 def joined(spans: Column) -> Column:
@@ -223,14 +260,30 @@ def joined(spans: Column) -> Column:
 def mask(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """docs with each span's text replaced by its kind in angle brackets; spans as from detect, joined on doc_id.
 
-    Overlapping spans are masked from the left; documents without spans stay as they are.
+    Overlapping spans are masked from the left; documents without spans stay as they are, and so do columns of
+    docs, whatever their names. A text of n spans takes its length times the root of n, as blocks of spans
+    are cut out one after the other.
     """
-    flat = spans.where(F.size("spans") > 0).select("doc_id", F.array_sort(F.transform("spans", lambda x: F.struct(x.start.alias("start"), x.stop.alias("stop"), x.kind.alias("kind")))).alias("mask_spans")).dropDuplicates(["doc_id"])
-    pieces = F.expr(
-        "aggregate(mask_spans, struct(0L AS at, '' AS out), (a, x) -> CASE WHEN x.start < a.at THEN a ELSE"
-        " struct(x.stop AS at, concat(a.out, substring(text, cast(a.at AS int) + 1, cast(x.start - a.at AS int)), '<', upper(x.kind), '>') AS out) END,"
-        " a -> concat(a.out, substring(text, cast(a.at AS int) + 1)))"
-    )
-    names = [c for c in docs.columns if c != "text"]
-    joined_docs = docs.join(flat, "doc_id", "left").withColumn("text", F.when(F.col("mask_spans").isNotNull(), pieces).otherwise(F.col("text")))
-    return replacing(joined_docs, "mask_spans").select(*names, "text")
+    key, held = unused("mask_id", docs), unused("mask_spans", docs)
+    flat = spans.where(F.size("spans") > 0).select(F.col("doc_id").alias(key), F.array_sort(F.transform("spans", lambda x: F.struct(x.start.cast("int").alias("start"), x.stop.cast("int").alias("stop"), x.kind.alias("kind")))).alias("at")).dropDuplicates([key])
+    # drop what begins before an earlier span ends; what is left covers each place once
+    flat = flat.withColumn("ends", F.transform("at", lambda x: x.stop)).withColumn("ends", _running(F.col("ends"), _most))
+    flat = flat.select(key, F.transform(F.filter(F.arrays_zip(F.col("at").alias("span"), F.col("ends").alias("ends")), lambda x: x.span.start >= x.ends), lambda x: x.span).alias(held))
+    step = F.ceil(F.sqrt(F.size(held).cast("double"))).cast("int")
+    whole = docs.join(flat, F.col("doc_id") == F.col(key), "left")
+
+    def block(first: Column) -> Column:
+        """The text from the end of the span before the block to the end of its last, masked."""
+        own = F.slice(held, first, step)
+        begin = F.coalesce(F.get(F.col(held), first - 2).stop, F.lit(0))
+        end = F.element_at(own, -1).stop
+        return F.struct(own.alias("own"), begin.alias("begin"), F.substring(F.col("text"), begin + 1, end - begin).alias("piece"))
+
+    def masked(b: Column) -> Column:
+        cut_out = lambda a, x: F.struct(x.stop.alias("at"), F.concat(a.out, F.substring(b.piece, a["at"] - b.begin + 1, x.start - a["at"]), F.lit("<"), F.upper(x.kind), F.lit(">")).alias("out"))
+        return F.aggregate(b.own, F.struct(b.begin.alias("at"), F.lit("").alias("out")), cut_out, lambda a: a.out)
+
+    starts = F.sequence(F.lit(1), F.size(held), step)
+    tail = F.substring(F.col("text"), F.element_at(F.col(held), -1).stop + 1, F.lit(_LAST))
+    text = F.concat(F.array_join(F.transform(F.transform(starts, block), masked), ""), tail)
+    return whole.select(*[F.when(F.size(held) > 0, text).otherwise(c).alias(n) if n == "text" else c for n, c in zip(docs.columns, columns(docs), strict=True)])
