@@ -26,9 +26,15 @@ ADDED = {
 KINDS = (*BASE, *ADDED)
 
 # The gazetteers. What a kind's text, or the words just before it, should look like.
-DOMAINS = ("com", "net", "org", "edu", "gov", "info", "io", "de", "fr", "es", "uk", "eu")
-ISSUERS = ("34", "37", "4", "50", "51", "52", "53", "54", "55", "60", "62", "64", "65")
-SECRET_PREFIXES = ("sk-", "sk_", "pk_", "ghp_", "gho_", "xox", "AKIA", "AIza", "eyJ")
+DOMAINS = tuple(
+    "com net org edu gov mil int info biz name pro io co ai app dev me tv xyz online site shop tech blog cloud eu uk de fr es it nl be at ch "
+    "se no dk fi pl cz sk hu ro bg gr pt ie is lu ru ua tr il us ca mx br ar cl pe ve cn hk tw jp kr in pk id my sg th vn ph au nz za eg ng ke ma".split()
+)
+ISSUERS = ("34", "35", "36", "37", "38", "4", "50", "51", "52", "53", "54", "55", "56", "57", "58", "60", "62", "63", "64", "65", "67", "22", "23", "24", "25", "26", "27")
+SECRET_PREFIXES = (
+    "sk-", "sk_", "pk_", "rk_", "ghp_", "gho_", "ghu_", "ghs_", "github_pat_", "glpat-", "xox", "AKIA", "ASIA", "AIza", "ya29", "eyJ", "hf_", "npm_",
+    "pypi-", "dop_v1_", "shpat_", "whsec_", "SG", "key-", "tok_",
+)
 CONTEXT = {
     "email": "mail|contact|write|@",
     "ip": "ip|host|server|address|from",
@@ -99,6 +105,15 @@ def _gazetteer(kind: str, matched: Column, digits: Column) -> Column:
     return vote(~F.substring(digits, 1, 1).isin("0"))
 
 
+def _strict(kind: str, matched: Column, holds: Column) -> Column:
+    """What the pattern labeler goes by: the base rule, and for emails and numbers the forms that are in use."""
+    if kind == "email":
+        return ~matched.rlike(r"\.\.|^[.%+-]|[.%+-]@|@-|-\.|\.[0-9]+$") & (F.length(matched) <= 254)
+    if kind == "ip":
+        return holds & ~matched.rlike(r"(?:^|\.)0[0-9]")
+    return holds
+
+
 def _shape(kind: str, matched: Column, digits: Column, before: Column) -> Column:
     """Length, mix of characters and what stands just before."""
     if kind == "secret":
@@ -135,13 +150,14 @@ def _most(x: Column, y: Column) -> Column:
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """doc_id and spans, an array of (kind, start, stop, base, votes): each candidate with what each labeler says of it.
+    """doc_id, text_key (a hash of the text) and spans, an array of (kind, start, stop, base, votes): each candidate with what each labeler says of it.
 
     start and stop count code points, stop exclusive. base tells the spans of the base rules. votes holds
     1, 0 (no opinion) or -1 in the order of LABELERS, then a bin of the length. The context of a candidate
     is what stands before it, back to the last match of its kind. Null texts have none.
     """
     docs = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    docs = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
     none = F.array().cast("array<string>")
     patterns = BASE | ADDED
     for kind in KINDS:
@@ -149,7 +165,7 @@ def candidates(docs: DataFrame) -> DataFrame:
     docs = docs.select("*", *[F.when(F.size(f"m_{k}") > 0, F.split("text", patterns[k], -1)).otherwise(none).alias(f"p_{k}") for k in KINDS])
     lengths = lambda k: F.zip_with(F.slice(f"p_{k}", 1, F.size(f"m_{k}")), f"m_{k}", lambda p, m: F.length(p) + F.length(m))
     docs = docs.select("*", *[lengths(k).alias(f"n_{k}") for k in KINDS])
-    docs = docs.select("doc_id", *[F.arrays_zip(F.slice(f"p_{k}", 1, F.size(f"m_{k}")).alias("before"), F.col(f"m_{k}").alias("matched"), _running(F.col(f"n_{k}"), lambda x, y: x + y).alias("at")).alias(f"s_{k}") for k in KINDS])
+    docs = docs.select("doc_id", "text_key", *[F.arrays_zip(F.slice(f"p_{k}", 1, F.size(f"m_{k}")).alias("before"), F.col(f"m_{k}").alias("matched"), _running(F.col(f"n_{k}"), lambda x, y: x + y).alias("at")).alias(f"s_{k}") for k in KINDS])
 
     def voted(kind: str) -> Column:
         def digits(x: Column) -> Column:
@@ -159,12 +175,12 @@ def candidates(docs: DataFrame) -> DataFrame:
         def vote(x: Column) -> Column:
             holds = _holds(kind, x.matched, x.digits)
             context = F.when(x.before.rlike(CONTEXT[kind]), 1).when(x.before.rlike(AGAINST), -1).otherwise(0)
-            votes = F.array(F.when(holds, 1).otherwise(-1), _gazetteer(kind, x.matched, x.digits), context, _shape(kind, x.matched, x.digits, x.before), F.least(F.length(x.matched).cast("int") / 8, F.lit(7)).cast("int"))
+            votes = F.array(F.when(_strict(kind, x.matched, holds), 1).otherwise(-1), _gazetteer(kind, x.matched, x.digits), context, _shape(kind, x.matched, x.digits, x.before), F.least(F.length(x.matched).cast("int") / 8, F.lit(7)).cast("int"))
             return F.struct(F.lit(kind).alias("kind"), x.start.cast("long").alias("start"), (x.start + F.length(x.matched)).cast("long").alias("stop"), (holds if kind in BASE else F.lit(False)).alias("base"), votes.alias("votes"))
 
         return F.transform(F.transform(f"s_{kind}", digits), vote)
 
-    return docs.select("doc_id", F.concat(*[voted(k) for k in KINDS]).alias("spans"))
+    return docs.select("doc_id", "text_key", F.concat(*[voted(k) for k in KINDS]).alias("spans"))
 
 
 def reliabilities(patterns: list[tuple[str, tuple[int, ...], int]], rounds: int = 50) -> tuple[list[tuple[float, float]], dict[str, float], list[float]]:
@@ -216,7 +232,7 @@ def train(patterns: list[tuple[str, tuple[int, ...], int]], post: list[float], r
 
 
 def detect(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """doc_id and spans, an array of (kind, start, stop, base): the base rules' spans and those the classifier adds.
+    """doc_id, text_key and spans, an array of (kind, start, stop, base): the base rules' spans and those the classifier adds.
 
     The candidates' vote patterns are counted; only those counts, of a number bounded by the labelers and
     kinds, reach the driver, for EM and the classifier. Candidates of the added kinds are kept
@@ -233,7 +249,7 @@ def detect(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     accepted = [k + "|" + ",".join(map(str, v)) for k, v, _ in patterns if k in ADDED and weights["bias"] + sum(weights[f] for f in _features(k, v)) >= cutoff]
     chosen = F.array(*[F.lit(a) for a in accepted]) if accepted else F.array().cast("array<string>")
     found = found.withColumn("chosen", chosen).select(
-        "doc_id", F.filter("spans", lambda x: x.base).alias("base_spans"),
+        "doc_id", "text_key", F.filter("spans", lambda x: x.base).alias("base_spans"),
         F.filter("spans", lambda x: x.kind.isin(*ADDED) & F.array_contains("chosen", F.concat_ws("|", x.kind, F.array_join(x.votes, ",")))).alias("more_spans"),
     )
     plain = lambda spans: F.transform(spans, lambda x: F.struct(x.kind.alias("kind"), x.start.alias("start"), x.stop.alias("stop"), x.base.alias("base")))
@@ -249,7 +265,7 @@ def detect(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     of = lambda kind: F.filter("added", lambda x: x.kind == F.lit(kind))
     in_order = F.concat(*map(of, ADDED))
     staged = staged.withColumn("added", F.when(met, added).otherwise(plain(F.col("more_spans"))))
-    return staged.select("doc_id", F.concat(plain(F.col("base_spans")), in_order).alias("spans"))
+    return staged.select("doc_id", "text_key", F.concat(plain(F.col("base_spans")), in_order).alias("spans"))
 
 
 def joined(spans: Column) -> Column:
@@ -258,19 +274,19 @@ def joined(spans: Column) -> Column:
 
 
 def mask(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """docs with each span's text replaced by its kind in angle brackets; spans as from detect, joined on doc_id.
+    """docs with each span's text replaced by its kind in angle brackets; spans as from detect, joined on doc_id and text_key.
 
     Overlapping spans are masked from the left; documents without spans stay as they are, and so do columns of
     docs, whatever their names. A text of n spans takes its length times the root of n, as blocks of spans
     are cut out one after the other.
     """
-    key, held = unused("mask_id", docs), unused("mask_spans", docs)
-    flat = spans.where(F.size("spans") > 0).select(F.col("doc_id").alias(key), F.array_sort(F.transform("spans", lambda x: F.struct(x.start.cast("int").alias("start"), x.stop.cast("int").alias("stop"), x.kind.alias("kind")))).alias("at")).dropDuplicates([key])
+    key, text_key, held = unused("mask_id", docs), unused("mask_key", docs), unused("mask_spans", docs)
+    flat = spans.where(F.size("spans") > 0).select(F.col("doc_id").alias(key), F.col("text_key").alias(text_key), F.array_sort(F.transform("spans", lambda x: F.struct(x.start.cast("int").alias("start"), x.stop.cast("int").alias("stop"), x.kind.alias("kind")))).alias("at")).dropDuplicates([key, text_key])
     # drop what begins before an earlier span ends; what is left covers each place once
     flat = flat.withColumn("ends", F.transform("at", lambda x: x.stop)).withColumn("ends", _running(F.col("ends"), _most))
-    flat = flat.select(key, F.transform(F.filter(F.arrays_zip(F.col("at").alias("span"), F.col("ends").alias("ends")), lambda x: x.span.start >= x.ends), lambda x: x.span).alias(held))
+    flat = flat.select(key, text_key, F.transform(F.filter(F.arrays_zip(F.col("at").alias("span"), F.col("ends").alias("ends")), lambda x: x.span.start >= x.ends), lambda x: x.span).alias(held))
     step = F.ceil(F.sqrt(F.size(held).cast("double"))).cast("int")
-    whole = docs.join(flat, F.col("doc_id") == F.col(key), "left")
+    whole = docs.join(flat, F.col("doc_id").eqNullSafe(F.col(key)) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col(text_key)), "left")
 
     def block(first: Column) -> Column:
         """The text from the end of the span before the block to the end of its last, masked."""

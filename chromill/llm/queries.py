@@ -17,11 +17,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's size, its source's size and target, and the words that the mix takes of it."""
     planned = mixing.plan_copies(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return planned.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "rate", "copies")
 
 
 def op2_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written as an archive with revisit records and read back from it; the archive goes afterwards."""
     path = scratch(spark, "warc")
     try:
         warc.write_deduplicated(_table(spark, sf_dir, "pages").select("page_id", "url", "html"), path)
@@ -31,33 +33,38 @@ def op2_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_template_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item or much of it, with other numbers, names or units too."""
     return decontam.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The figures of each document, and whether it stays once boilerplate lines of its source are out."""
     judged = quality_rules.judge(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "chars", "chars_left")
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of each kind of personal data, a digest of the base spans, and all spans."""
     found = pii.detect(_table(spark, sf_dir, "documents").select("doc_id", "text"))
-    base = F.filter("spans", lambda x: x.base)
-    found = found.withColumn("base", base)
-    kinds = F.transform("base", lambda x: x.kind)
-    counts = [F.size(F.filter(kinds, lambda x: x == F.lit(kind))).cast("long").alias(f"n_{kind}") for kind in pii.BASE]
-    return found.select("doc_id", *counts, F.sha2(pii.joined(F.col("base")), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"))
+    found = found.withColumn("base", F.filter("spans", lambda x: x.base))
+    of = lambda kind: F.size(F.filter("kinds", lambda x: x == F.lit(kind))).cast("long").alias(f"n_{kind}")
+    found = found.withColumn("kinds", F.transform("spans", lambda x: x.kind))
+    return found.select("doc_id", *map(of, pii.KINDS), F.size("spans").cast("long").alias("n_spans"), F.sha2(pii.joined(F.col("base")), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"))
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How likely each document is good, and toxic, and whether it stays."""
     return quality_model.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
 def op7_chat_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The maximal conversations, with length and digest of what they are rendered as."""
     formatted = chat.format_chats(_table(spark, sf_dir, "conversations"))
     return formatted.select("conv_id", "part", "n_turns", "n_copies", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
 
 
 def op8_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in 16 shards of near equal bytes."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     docs = docs.withColumn("text_crc32", F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8")))
     sharded = sharding.shard(docs, 16, columns=["doc_id", "text_crc32"])
@@ -65,10 +72,12 @@ def op8_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str, model: str = VOCABULARY) -> DataFrame:
+    """Tokens of each document under the pieces of a vocabulary file, read by the driver, which sends them along."""
     return token_count.count_tokens(_table(spark, sf_dir, "documents"), token_count.Vocabulary.from_model(model))
 
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The component of near copies that each document is in, over two-word shingles."""
     return near_dedup.link(_table(spark, sf_dir, "documents").select("doc_id", "text"), k=2, percent=80)
 
 
