@@ -13,6 +13,9 @@ MIN_WORDS = 20
 #: Words in windows that occur again, in percent of all words, above which a text fails.
 MAX_REPEATED = 30
 WINDOW = 8
+#: Windows of a text whose places fit into the low bits of their hashes.
+SMALL_BITS = 16
+SMALL = 1 << SMALL_BITS
 #: A line is boilerplate of its host if more distinct documents hold it than this share of the host's, and than this number.
 LINE_SHARE = 0.1
 LINE_FLOOR = 20
@@ -47,17 +50,19 @@ def _figures(docs: DataFrame, host: str) -> DataFrame:
         F.expr(f"CASE WHEN size(words) >= {WINDOW} THEN transform(sequence(1, size(words) - {WINDOW - 1}), i -> xxhash64(slice(words, i, {WINDOW}))) ELSE array() END").alias("windows"),
         F.array_distinct(F.transform("lines", lambda x: F.struct(F.xxhash64(_normal(x)).alias("line"), F.length(_normal(x)).alias("chars")))).alias("lines"),
     )
-    # window hashes are sorted with their places in the low bits, as few as the text needs; equal neighbours repeat
-    tagged = hashed.withColumn("bits", F.expr("cast(length(bin(size(windows))) as int)")).withColumn(
-        "tagged", F.expr("CASE WHEN size(array_distinct(windows)) < size(windows) THEN sort_array(transform(windows, (h, i) -> shiftleft(h, bits) | cast(i as bigint))) ELSE array() END")
-    ).drop("windows")
+    # window hashes are sorted with their places; equal neighbours repeat. Up to SMALL windows the places go into the low
+    # bits, which leaves 48 bits of hash; beyond, pairs of the whole hash and the place are sorted
+    again = "CASE WHEN size(array_distinct(windows)) < size(windows) AND size(windows) {0} THEN {1} ELSE array() END"
+    tagged = hashed.withColumn("packed", F.expr(again.format(f"<= {SMALL}", f"sort_array(transform(windows, (h, i) -> shiftleft(h, {SMALL_BITS}) | cast(i as bigint)))")))
+    tagged = tagged.withColumn("pairs", F.expr(again.format(f"> {SMALL}", "sort_array(transform(windows, (h, i) -> struct(h AS h, cast(i as bigint) AS i)))").replace("array()", "cast(array() AS array<struct<h:bigint,i:bigint>>)"))).drop("windows")
+    same = f"shiftright(x, {SMALL_BITS}) = shiftright(get(packed, i {{0}} 1), {SMALL_BITS})"
     placed = tagged.withColumn(
         "places",
         F.expr(
-            "sort_array(transform(filter(tagged, (x, i) -> shiftright(x, bits) = shiftright(get(tagged, i - 1), bits) OR shiftright(x, bits) = shiftright(get(tagged, i + 1), bits)),"
-            " x -> x & (shiftleft(1L, bits) - 1)))"
+            f"CASE WHEN size(pairs) > 0 THEN sort_array(transform(filter(pairs, (x, i) -> x.h = get(pairs, i - 1).h OR x.h = get(pairs, i + 1).h), x -> x.i))"
+            f" ELSE sort_array(transform(filter(packed, (x, i) -> {same.format('-')} OR {same.format('+')}), x -> x & {(1 << SMALL_BITS) - 1}L)) END"
         ),
-    ).drop("tagged", "bits")
+    ).drop("packed", "pairs")
     covered = F.expr(f"CASE WHEN size(places) = 0 THEN 0L ELSE aggregate(sequence(0, size(places) - 1), 0L, (n, i) -> n + coalesce(least({WINDOW}L, get(places, i + 1) - get(places, i)), {WINDOW}L)) END")
     failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEATED)
     return placed.withColumn("n_repeat_words", covered).drop("places").withColumn("base_failed", failed)

@@ -3,7 +3,9 @@ import gzip
 import hashlib
 import random
 import re
+import time
 import zlib
+from collections import Counter
 from pathlib import Path
 
 import numpy as np
@@ -324,8 +326,19 @@ def plain_viterbi(text, vocabulary, fallback):
     return n, best[-1][0]
 
 
+def test_scores_do_not_hang_on_the_other_texts():
+    v = token_count.Vocabulary.of([(p, -0.1 * i) for i, p in enumerate(["a", "b", "▁", "ab", "▁a"], 1)])
+    texts = ["ab ab b a " * 50, "a\x00b", "", None, "ba ab"]
+    counter = token_count.Counter(v)
+    n, s = counter.count(pa.array(texts), True)
+    for i, t in enumerate(texts):
+        assert (n[i], s[i]) == tuple(x[0] for x in counter.count(pa.array([t], pa.string()), True))
+
+
+@pytest.mark.parametrize("forget", [1 << 14, 0])
 @pytest.mark.parametrize("fallback", [True, False])
-def test_token_counts_equal_plain_viterbi(fallback):
+def test_token_counts_equal_plain_viterbi(fallback, forget, monkeypatch):
+    monkeypatch.setattr(token_count, "FORGET", forget)
     draw = random.Random(5)
     pieces = [(p, -float(draw.randint(1, 3))) for p in ["a", "b", "▁", "ab", "ba", "▁a", "aab", "bab", "▁▁", "▁ab", "abab", "c", "▁c"]]
     v = token_count.Vocabulary.of(pieces, byte_fallback=fallback, space_prefix=False)
@@ -377,6 +390,55 @@ def test_variety_and_shapes_are_of_whole_texts():
     assert quality_model._word("a1" * 32 + "-")[1] != quality_model._word("a1" * 32 + "B")[1]
 
 
+def test_many_matches_in_one_text_take_no_quadratic_time(spark):
+    n = 40_000
+    text = " ".join(f"u{i}@x.org" for i in range(n))
+    began = time.perf_counter()
+    spans = pii.detect(spark.createDataFrame([(1, text), (2, "token " + "aB3dE6gH9k" * 3 + " " + text)], DOCS))
+    got = {r.doc_id: r.n for r in spans.select("doc_id", F.size("spans").alias("n")).collect()}
+    assert got == {1: n, 2: n + 1} and time.perf_counter() - began < 60
+    masked = pii.mask(spark.createDataFrame([(1, text)], DOCS), spans.where("doc_id = 1")).first().text
+    assert masked == " ".join(["<EMAIL>"] * n)
+
+
+def plain_added(text, accepted):
+    """Added spans that overlap no base span, of the candidates given."""
+    base = [(a, b) for _, a, b in base_spans(text)]
+    return [c for c in accepted if all(b <= c[1] or a >= c[2] for a, b in base)]
+
+
+def test_added_spans_overlap_no_base_span(spark):
+    draw = random.Random(8)
+    parts = ["+1 555 123-4567", "555-123-4567", "aB3dE6gH9kaB3dE6gH9kaB3d", "aB3dE6gH9kaB3dE6gH9kaB3d@x.org", "4111 1111 1111 1111", "10.0.0.1", "call", "token", "(555) 123-4567"]
+    texts = [draw.choice([" ", "", ", "]).join(draw.choice(parts) for _ in range(draw.randint(1, 30))) for _ in range(200)]
+    df = spark.createDataFrame(list(enumerate(texts)), DOCS)
+    got = {r.doc_id: [(s.kind, s.start, s.stop) for s in r.spans if not s.base] for r in pii.detect(df, threshold=1e-9).collect()}
+    every = {r.doc_id: [(s.kind, s.start, s.stop) for s in r.spans if s.kind in pii.ADDED] for r in pii.candidates(df).collect()}
+    assert any(got.values()) and got == {i: plain_added(t, every[i]) for i, t in enumerate(texts)}
+
+
+def test_masking_keeps_other_columns(spark):
+    df = spark.createDataFrame([(1, "x", "me@a.org and 10.0.0.1", 5), (2, "y", None, 6), (None, "z", "q@b.org", 7)], "doc_id long, mask_id string, text string, `a.b` int")
+    masked = pii.mask(df, pii.detect(df))
+    assert masked.columns == df.columns and sorted(tuple(r)[1:] for r in masked.collect()) == [("x", "<EMAIL> and <IP>", 5), ("y", None, 6), ("z", "<EMAIL>", 7)]
+
+
+def test_repeats_in_long_texts_are_exact(spark, monkeypatch):
+    draw = random.Random(6)
+    words = [f"w{i}" for i in range(30_000)]
+    long = [draw.choice(words) for _ in range(70_000)]
+    long[50_000:50_040] = long[100:140]
+    rows = [(1, " ".join(long), "s"), (2, " ".join(long[:90] + long[40:60]), "s"), (3, " ".join(words), "s")]
+
+    def repeated(w):
+        wins = [tuple(w[i : i + 8]) for i in range(len(w) - 7)]
+        often = {x for x, n in Counter(wins).items() if n > 1}
+        return len({j for i, x in enumerate(wins) if x in often for j in range(i, i + 8)})
+
+    got = {r.doc_id: r.n_repeat_words for r in quality_rules.judge(spark.createDataFrame(rows, DOCS + ", source string")).collect()}
+    assert got == {i: repeated(t.split()) for i, t, _ in rows} and got[1] >= 80
+
+
 def test_long_secrets_are_candidates(spark):
     token = "eyJ" + "aB3dE6gH9k" * 40
     got = pii.detect(spark.createDataFrame([(1, f"the auth token: {token} ends"), (2, f"{token}." * 2)], DOCS)).collect()
