@@ -52,7 +52,7 @@ def harmony() -> dict[str, Column]:
 
 def temperature() -> dict[str, Column]:
     warm, cool = _sum(WARM), _sum(COOL)
-    return {"warm_colors": warm, "cool_colors": cool, "neutral_colors": _sum(NEUTRAL), "warm_cool_balance": F.abs(warm - cool), "warm_cool_ratio": warm / (cool + EPS)}
+    return {"warm_colors_total": warm, "cool_colors_total": cool, "neutral_colors_total": _sum(NEUTRAL), "warm_cool_balance": F.abs(warm - cool), "warm_cool_ratio": warm / (cool + EPS)}
 
 
 def diversity(compat: bool = True) -> dict[str, Column]:

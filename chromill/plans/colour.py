@@ -153,7 +153,7 @@ SQL = {
     "q_engineered_ratios": f"with {d.PAL12} select url, {', '.join(f'round({a} / ({b} + 0.001::double), 6) as {a}_{b}_ratio' for a, b in PAIRS)} from pal12",
     "q_engineered_dominance": f"with {d.PAL12} select url, {', '.join(_flag(f'{a} > {b}') + f' as {a}_{b}_dominance' for a, b in PAIRS)} from pal12",
     "q_engineered_harmony": f"with {d.PAL12} select url, {', '.join(_flag(f'{a} > 0.1::double and {b} > 0.1::double') + f' as {a}_{b}_complementary' for a, b in COMPLEMENTARY)}, {', '.join(_flag(' and '.join(f'{x} > 0.05::double' for x in g)) + f' as analogous_group_{i}' for i, g in enumerate(ANALOGOUS, 1))} from pal12",
-    "q_engineered_balance": f"""with {d.PAL12} select url, round({_warm}, 6) as warm_colors, round({_cool}, 6) as cool_colors, round({_sum(NEUTRAL)}, 6) as neutral_colors, round(abs({_warm} - {_cool}), 6) as warm_cool_balance, round({_warm} / ({_cool} + 0.001::double), 6) as warm_cool_ratio,
+    "q_engineered_balance": f"""with {d.PAL12} select url, round({_warm}, 6) as warm_colors_total, round({_cool}, 6) as cool_colors_total, round({_sum(NEUTRAL)}, 6) as neutral_colors_total, round(abs({_warm} - {_cool}), 6) as warm_cool_balance, round({_warm} / ({_cool} + 0.001::double), 6) as warm_cool_ratio,
       round(cast(len(list_filter({_list}, lambda x: x > 0.1::double)) as double), 6) as num_dominant_colors, round({_spread}, 6) as palette_variance, round({_sum(PRIMARY)}, 6) as primary_dominance, round(cast(len(list_filter({_list}, lambda x: x > 0.05::double)) as double), 6) as color_diversity, round(1 - {_spread}, 6) as color_balance from pal12""",
     "q_engineered_dominant": f"with {d.PAL12}, n as (select url, {_DOMINANT} as dominant from pal12) select url, dominant, {_flag(f'dominant in {_in(WARM)}')} as dominant_is_warm, {_flag(f'dominant in {_in(COOL)}')} as dominant_is_cool, {_flag(f'dominant in {_in(NEUTRAL)}')} as dominant_is_neutral from n",
     "q_engineered_validation": f"with {d.PAL12}, {_SMOOTH}, long as (unpivot (select {', '.join(COLOUR_NAMES)} from smoothed) on {', '.join(COLOUR_NAMES)} into name colour value share) select colour, count(*) filter (where share <= 0 or share >= 1) as violations, round(min(share), 6) as min_share, round(max(share), 6) as max_share, round(avg(share), 6) as avg_share, round(stddev_pop(share), 6) as std_share from long group by colour",

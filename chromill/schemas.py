@@ -23,14 +23,14 @@ COLOURS = {
 COLOUR_NAMES = tuple(COLOURS)
 
 # The ordered pairs of the ratio and dominance features.
-PAIRS = tuple(
-    tuple(p.split("_"))
-    for p in (
-        "red_blue red_green red_yellow red_purple blue_yellow blue_orange blue_green blue_purple yellow_purple yellow_green "
-        "yellow_orange green_purple green_orange purple_orange black_white black_grey black_brown white_grey white_brown grey_brown "
-        "red_orange orange_yellow blue_turquoise green_turquoise purple_pink red_pink"
-    ).split()
-)
+PAIRS = (
+    ("red", "blue"), ("red", "green"), ("red", "yellow"), ("red", "purple"), ("blue", "yellow"),
+    ("blue", "orange"), ("blue", "green"), ("blue", "purple"), ("yellow", "purple"), ("yellow", "green"),
+    ("yellow", "orange"), ("green", "purple"), ("green", "orange"), ("purple", "orange"), ("black", "white"),
+    ("black", "grey"), ("black", "brown"), ("white", "grey"), ("white", "brown"), ("grey", "brown"),
+    ("red", "orange"), ("orange", "yellow"), ("blue", "turquoise"), ("green", "turquoise"), ("purple", "pink"),
+    ("red", "pink"),
+)
 # Colour harmonies and temperature groups. Pink belongs to no group.
 COMPLEMENTARY = (("red", "green"), ("blue", "orange"), ("yellow", "purple"))
 ANALOGOUS = (("red", "orange", "yellow"), ("yellow", "green", "blue"), ("blue", "purple", "red"), ("green", "blue", "turquoise"), ("purple", "pink", "red"))
@@ -46,9 +46,9 @@ ENGINEERED_73 = (
     *[f"{a}_{b}_dominance" for a, b in PAIRS],
     *[f"{a}_{b}_complementary" for a, b in COMPLEMENTARY],
     *[f"analogous_group_{i}" for i in range(1, len(ANALOGOUS) + 1)],
-    "warm_colors", "cool_colors", "neutral_colors", "warm_cool_balance", "warm_cool_ratio",
-    "num_dominant_colors", "palette_variance", "primary_dominance", "color_diversity", "color_balance",
-    "dominant_is_warm", "dominant_is_cool", "dominant_is_neutral",
+    "warm_colors_total", "cool_colors_total", "neutral_colors_total", "warm_cool_balance", "warm_cool_ratio",
+    "num_dominant_colors", "palette_variance", "primary_dominance", "color_diversity",
+    "dominant_is_warm", "dominant_is_cool", "dominant_is_neutral", "color_balance",
 )
 
 

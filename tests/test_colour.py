@@ -15,6 +15,10 @@ def test_orders():
     assert len(ENGINEERED_73) == 73 and len(FEATURES_18) == 18
     assert FEATURES_18[:4] == ("b_bgr_mean", "g_bgr_mean", "r_bgr_mean", "h_hsv_mean") and FEATURES_18[9] == "b_bgr_std"
     assert list(COLOUR_NAMES) == sorted(COLOUR_NAMES)
+    assert ENGINEERED_73[60:] == (
+        "warm_colors_total", "cool_colors_total", "neutral_colors_total", "warm_cool_balance", "warm_cool_ratio", "num_dominant_colors", "palette_variance",
+        "primary_dominance", "color_diversity", "dominant_is_warm", "dominant_is_cool", "dominant_is_neutral", "color_balance",
+    )
 
 
 @pytest.mark.parametrize(("a", "b", "de"), [("red", "orange", 33.7521), ("black", "white", 100.0), ("blue", "purple", 19.8424), ("grey", "white", 33.2390), ("pink", "red", 34.9327), ("green", "turquoise", 37.6731)])
@@ -48,7 +52,7 @@ def shares(spark, **given):
 
 
 def test_engineered_golden_rows(spark):
-    names = ["red_blue_ratio", "black_white_ratio", "warm_colors", "cool_colors", "neutral_colors", "warm_cool_balance", "warm_cool_ratio", "num_dominant_colors", "color_diversity", "palette_variance", "color_balance"]
+    names = ["red_blue_ratio", "black_white_ratio", "warm_colors_total", "cool_colors_total", "neutral_colors_total", "warm_cool_balance", "warm_cool_ratio", "num_dominant_colors", "color_diversity", "palette_variance", "color_balance"]
     cases = [
         ({c: 1 / 12 for c in COLOUR_NAMES}, [0.988142, 0.988142, 1 / 3, 1 / 3, 0.25, 0, 0.997009, 0, 12, 0, 1]),
         ({"red": 1.0}, [1000, 0, 1, 0, 0, 1, 1000, 1, 1, 0.276385, 0.723615]),
