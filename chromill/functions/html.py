@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+import re
+from html import unescape
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -13,6 +14,13 @@ from pyspark.sql.types import StringType
 
 #: A quoted or bare attribute value.
 _VALUE = r"""(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+#: A comment, or a script or style element, whichever begins first.
+_HIDDEN = r"(?is)<!--.*?(?:-->|\z)|(<(?:script|style)\b[^>]*>)(.*?)(</(?:script|style)\s*>|\z)"
+
+
+def visible(html: Column, bodies: bool = False) -> Column:
+    """html without comments, and without what stands in scripts and styles unless bodies is set."""
+    return F.regexp_replace(html, _HIDDEN, "$1$2$3" if bodies else "$1$3")
 
 
 def tags(html: Column, name: str) -> Column:
@@ -27,15 +35,27 @@ def attribute(tag: Column, name: str) -> Column:
     return F.when(tag.rlike(pattern), found)
 
 
+_REFERENCE = re.compile(r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]*(?:;|(?![=A-Za-z0-9])))")
+
+
+@F.pandas_udf(StringType())
+def decoded(values: pd.Series) -> pd.Series:
+    """Attribute values with their character references resolved; a name without ';' before '=' or a letter is none.
+
+    The table of names is the standard library's, so this one short string a page goes through Python.
+    """
+    return values.map(lambda v: _REFERENCE.sub(lambda m: unescape(m[0]), v) if v and "&" in v else v)
+
+
 def first_meta(html: Column, key: str, value: str) -> Column:
     """The content of the first meta tag whose key attribute has the value; '' or null where it is empty or missing."""
-    hit = F.get(F.filter(tags(html, "meta"), lambda t: F.lower(attribute(t, key)) == value), 0)
+    hit = F.get(F.filter(tags(html, "meta"), lambda t: attribute(t, key) == value), 0)
     return attribute(hit, "content")
 
 
 def json_ld(html: Column) -> Column:
-    """The bodies of all JSON-LD scripts, in order."""
-    return F.regexp_extract_all(html, F.lit(r"""(?is)<script[^>]*type\s*=\s*["']application/ld\+json["'][^>]*>(.*?)</script>"""), F.lit(1))
+    """The bodies of all JSON-LD scripts, in order; comments should be out."""
+    return F.regexp_extract_all(html, F.lit(r"""(?is)<script\b[^>]*\stype\s*=\s*(?:"application/ld\+json"|'application/ld\+json'|application/ld\+json(?=[\s>]))[^>]*>(.*?)</script\s*>"""), F.lit(1))
 
 
 def dimension(text: Column) -> Column:
@@ -44,21 +64,22 @@ def dimension(text: Column) -> Column:
 
 
 def image_of(data: object) -> str | None:
-    """The image of a JSON-LD value: that of the first object that has one, objects before their parts, in document order."""
+    """The image of a JSON-LD value: that of the first object that names one, objects before their parts, in document order.
+
+    An object's image is a string or its url, or that of the first of a list; where it is of that form, even
+    if empty, the object's other parts are not looked at.
+    """
     if isinstance(data, dict):
-        found = data.get("image")
-        if isinstance(found, list):
-            found = found[0] if found else None
-        if isinstance(found, dict):
-            found = found.get("url")
-        if isinstance(found, str) and found:
-            return found
-        parts: Iterator = iter(data.values())
-    elif isinstance(data, list):
-        parts = iter(data)
-    else:
-        return None
-    return next((x for x in map(image_of, parts) if x), None)
+        named = data.get("image")
+        if isinstance(named, list) and named:
+            named = named[0]
+        if isinstance(named, dict) and "url" in named:
+            named = named["url"]
+            return named if isinstance(named, str) and named else None
+        if isinstance(named, str):
+            return named or None
+    parts = data.values() if isinstance(data, dict) else data if isinstance(data, list) else ()
+    return next((found for found in map(image_of, parts) if found), None)
 
 
 @F.pandas_udf(StringType())
@@ -109,7 +130,7 @@ def list_items(html: str) -> list[str]:
 
 def detail_map(items: Column) -> Column:
     """'key: value' strings as a map; later colons vanish, later keys win."""
-    pairs = F.transform(items, lambda x: F.struct(F.get(F.split(x, ":"), 0).alias("k"), F.array_join(F.slice(F.split(x, ":"), F.lit(2), F.lit(1000)), "").alias("v")))
+    pairs = F.transform(items, lambda x: F.struct(F.get(F.split(x, ":"), 0).alias("k"), F.array_join(F.slice(F.split(x, ":"), F.lit(2), F.size(F.split(x, ":"))), "").alias("v")))
     empty = F.create_map().cast("map<string,string>")
     put = lambda m, p: F.map_concat(F.map_filter(m, lambda k, _: k != p.k), F.create_map(p.k, p.v))
     return F.aggregate(pairs, empty, put)

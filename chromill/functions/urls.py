@@ -33,7 +33,7 @@ def _clean(url: Column) -> Column:
     path = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)", 1)
     head = F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
     tail = F.regexp_extract(url, r"^[^?#]*([?#].*)$", 1)
-    parts = F.slice(F.split(path, "/"), F.lit(2), F.lit(10_000))
+    parts = F.slice(F.split(path, "/"), F.lit(2), F.size(F.split(path, "/")))
     none = F.array().cast("array<string>")
     kept = F.aggregate(parts, none, lambda out, p: F.when(p == ".", out).when(p == "..", F.slice(out, F.lit(1), F.greatest(F.size(out) - 1, F.lit(0)))).otherwise(F.concat(out, F.array(p))))
     ends_in_folder = F.element_at(parts, -1).isin(".", "..")

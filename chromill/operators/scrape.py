@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import html as h
 from ..functions.urls import join_url
 from ..schemas import require_columns
+from ..session import fixed
+from .ordering import ranks
 
 #: Images of no more pixels than this are icons.
 MIN_AREA = 10_000
@@ -28,11 +30,15 @@ def clean_crawl(raw: DataFrame, order: str = "pos") -> DataFrame:
 
 
 def image_tags(pages: DataFrame, key: str = "page_id") -> DataFrame:
-    """(key, pos, src, width, height) of every img tag; src falls back to data-src, dimensions are null where unknown."""
+    """(key, pos, src, width, height) of every img tag outside comments and scripts that has a source.
+
+    src falls back to data-src; dimensions are null where unknown; pos counts the tags without a source too.
+    """
     t = F.col("tag")
     src = F.coalesce(F.nullif(h.attribute(t, "src"), F.lit("")), h.attribute(t, "data-src"))
-    exploded = pages.select(key, F.posexplode(h.tags(F.col("html"), "img")).alias("pos", "tag"))
-    return exploded.select(key, "pos", src.alias("src"), h.dimension(h.attribute(t, "width")).alias("width"), h.dimension(h.attribute(t, "height")).alias("height"))
+    exploded = pages.select(key, F.posexplode(h.tags(h.visible(F.col("html")), "img")).alias("pos", "tag"))
+    sourced = exploded.select(key, "pos", src.alias("src"), h.dimension(h.attribute(t, "width")).alias("width"), h.dimension(h.attribute(t, "height")).alias("height"))
+    return sourced.where(F.col("src") != "").withColumn("src", h.decoded("src"))
 
 
 def largest_image(tag_rows: DataFrame, key: str = "page_id") -> DataFrame:
@@ -43,28 +49,29 @@ def largest_image(tag_rows: DataFrame, key: str = "page_id") -> DataFrame:
     return sized.withColumn("rank", rank).where("rank IS NOT NULL").groupBy(key).agg(F.min_by(F.struct("src", "area"), "rank").alias("best")).select(key, "best.src", "best.area")
 
 
-def _largest(html: Column) -> Column:
-    """largest_image within a row, without exploding."""
-    def read(t: Column) -> Column:
+def _images(html: Column) -> Column:
+    """Of each img tag that has a source: area (0 where a dimension is unknown), how far back it stands, src."""
+    def read(t: Column, i: Column) -> Column:
         area = F.coalesce(h.dimension(h.attribute(t, "width")).cast("long") * h.dimension(h.attribute(t, "height")), F.lit(0))
-        return F.struct(F.coalesce(F.nullif(h.attribute(t, "src"), F.lit("")), h.attribute(t, "data-src")).alias("src"), area.alias("area"))
+        return F.struct(area.alias("area"), (-i).alias("back"), F.coalesce(F.nullif(h.attribute(t, "src"), F.lit("")), h.attribute(t, "data-src")).alias("src"))
 
-    images = F.transform(h.tags(html, "img"), read)
-    big = F.filter(images, lambda x: x.area > MIN_AREA)
-    best = F.get(F.filter(big, lambda x: x.area == F.array_max(F.transform(big, lambda y: y.area))), 0)
-    unsized = F.get(F.filter(images, lambda x: x.area == 0), 0)
-    return F.coalesce(best.src, unsized.src)
+    return F.filter(F.transform(h.tags(html, "img"), read), lambda x: x.src != "")
 
 
 def extract_images(pages: DataFrame, exact_json: bool = True) -> DataFrame:
     """pages (page, html) with image_url and source, by the cascade og:image, twitter:image, JSON-LD, largest img, none.
 
-    exact_json reads JSON-LD in document order by a parser in Arrow batches; otherwise the three plain forms
+    Comments count for nothing, nor do tags inside scripts; the character references of the chosen attribute are
+    resolved. exact_json reads JSON-LD in document order by a parser in Arrow batches; otherwise the three plain forms
     of a top-level image (string, object with url, list of either) are read by Spark's JSON functions alone.
     """
-    body, page = F.col("html"), F.col("page")
+    page = F.col("page")
     some = lambda c: F.when(F.length(c) > 0, c)
-    staged = pages.withColumns({"__og": some(h.first_meta(body, "property", "og:image")), "__tw": some(h.first_meta(body, "name", "twitter:image")), "__ld": h.json_ld(body), "__img": some(_largest(body))})
+    staged = pages.withColumn("__tags", h.visible(F.col("html")))
+    staged = staged.withColumns({"__og": some(h.first_meta(F.col("__tags"), "property", "og:image")), "__tw": some(h.first_meta(F.col("__tags"), "name", "twitter:image")), "__ld": h.json_ld(h.visible(F.col("html"), bodies=True)), "__all": _images(F.col("__tags"))})
+    # the largest, the first of equals; else the first that lacks a dimension
+    best = F.coalesce(F.array_max(F.filter("__all", lambda x: x.area > MIN_AREA)), F.array_max(F.filter("__all", lambda x: x.area == 0)))
+    staged = staged.withColumn("__img", some(best.src))
     if exact_json:
         ld = h.json_ld_image(F.col("__ld"))
     else:
@@ -73,9 +80,9 @@ def extract_images(pages: DataFrame, exact_json: bool = True) -> DataFrame:
         ld = F.get(F.filter(F.transform("__ld", plain), lambda x: x.isNotNull() & (x != "")), 0)
     staged = staged.withColumn("__ldimg", some(ld))
     pick = F.coalesce(*[F.when(F.col(c).isNotNull(), F.struct(F.col(c).alias("url"), F.lit(s).alias("source"))) for c, s in (("__og", "og:image"), ("__tw", "twitter:image"), ("__ldimg", "jsonld"), ("__img", "fallback:img"))])
-    picked = staged.withColumn("__pick", pick)
-    out = picked.withColumns({"image_url": join_url(page, F.col("__pick.url")), "source": F.coalesce("__pick.source", F.lit("none_found"))})
-    return out.drop("__og", "__tw", "__ld", "__img", "__ldimg", "__pick")
+    picked = staged.withColumn("__pick", pick).withColumn("__url", h.decoded(F.when(F.col("__pick.source") != "jsonld", F.col("__pick.url"))))
+    out = picked.withColumns({"image_url": join_url(page, F.coalesce("__url", "__pick.url")), "source": F.coalesce("__pick.source", F.lit("none_found"))})
+    return out.drop("__tags", "__og", "__tw", "__ld", "__all", "__img", "__ldimg", "__pick", "__url")
 
 
 def verify_status(head: Column, get: Column, error: Column, robust: bool = False) -> Column:
@@ -143,15 +150,11 @@ def first_wins(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFra
 def batch_numbers(rows: DataFrame, order: list[Column], size: int, existing: int = 0) -> DataFrame:
     """rows with pos (from 1) and batch, numbered on from the existing ones.
 
-    The order is over all rows; ranks come from a range partition and the counts before each.
+    The order is over all rows; ranks come from a range partition and the counts before each. The range
+    partition is written to the checkpoint folder, so that counts and rows agree after a lost executor.
     """
-    ranged = rows.repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
-    ranged = ranged.persist()
-    before = ranged.groupBy("__part").count()
-    before = before.select("__part", (F.sum("count").over(Window.orderBy("__part")) - F.col("count")).alias("__before"))
-    inside = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
-    placed = ranged.withColumn("__in", inside).join(F.broadcast(before), "__part")  # one row a partition
-    return placed.withColumn("pos", F.col("__in") + F.col("__before")).withColumn("batch", F.floor((F.col("pos") - 1) / size) + 1 + existing).drop("__part", "__in", "__before")
+    placed = ranks(rows, order).withColumn("pos", F.col("__rank") + 1).drop("__rank")
+    return placed.withColumn("batch", F.floor((F.col("pos") - 1) / size) + 1 + existing)
 
 
 def batch_size(n: int, batches: int = 100) -> int:
@@ -161,13 +164,26 @@ def batch_size(n: int, batches: int = 100) -> int:
 
 
 def backoff(attempts: DataFrame, host: str = "host", order: tuple[str, ...] = ("ts", "event_id")) -> DataFrame:
-    """Per host the back-off after all its attempts in order: times 0.9 after 200 (0.5 at least), times 1.5 after 429 (5 at most)."""
-    runs = attempts.groupBy(host).agg(F.array_sort(F.collect_list(F.struct(*order, "status"))).alias("runs"))
+    """Per host the back-off after all its attempts in order: times 0.9 after 200 (0.5 at least), times 1.5 after 429 (5 at most).
+
+    A step, and any run of steps, is a factor held between two bounds; so each range of a host's attempts
+    is folded into one (factor, low, high), and a host's ranges are folded in turn. No task holds a host's whole history.
+    """
+    ranged = fixed(attempts.select(host, *order, "status").repartitionByRange(host, *order).withColumn("__part", F.spark_partition_id()))
+    runs = ranged.groupBy(host, "__part").agg(F.array_sort(F.collect_list(F.struct(*order, "status"))).alias("runs"))
+    number = lambda x: F.lit(float(x))
+
+    def after(a: Column, factor: Column, low: Column, high: Column) -> Column:
+        held = lambda x: F.least(F.greatest(x * factor, low), high)
+        return F.struct((a.factor * factor).alias("factor"), held(a.low).alias("low"), held(a.high).alias("high"))
 
-    def step(b: Column, x: Column) -> Column:
-        return F.when(x.status == 200, F.greatest(b * 0.9, F.lit(0.5))).when(x.status == 429, F.least(b * 1.5, F.lit(5.0))).otherwise(b)
+    def step(a: Column, x: Column) -> Column:
+        return F.when(x.status == 200, after(a, number(0.9), number(0.5), number("inf"))).when(x.status == 429, after(a, number(1.5), number("-inf"), number(5.0))).otherwise(a)
 
-    return runs.select(host, F.size("runs").cast("long").alias("n_attempts"), F.aggregate("runs", F.lit(1.0), step).alias("backoff"))
+    whole = F.struct(number(1.0).alias("factor"), number("-inf").alias("low"), number("inf").alias("high"))
+    folded = runs.select(host, "__part", F.size("runs").cast("long").alias("n"), F.aggregate("runs", whole, step).alias("f"))
+    parts = folded.groupBy(host).agg(F.sum("n").alias("n_attempts"), F.array_sort(F.collect_list(F.struct("__part", "f"))).alias("parts"))
+    return parts.select(host, "n_attempts", F.aggregate("parts", number(1.0), lambda b, x: F.least(F.greatest(b * x.f.factor, x.f.low), x.f.high)).alias("backoff"))
 
 
 Fetcher = Callable[[str], tuple[str | None, str | None]]
