@@ -27,12 +27,13 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
     return require_columns(raw, ART_PAGES.names)
 
 
-def read_batches(spark: SparkSession, folder: str, schema: T.StructType, key: str = "url", order: str | None = None) -> DataFrame:
-    """All batch_*.csv files of a folder; the first row of each key, by file and then order, wins. Broken files are passed over."""
-    rows = spark.read.schema(schema).option("header", True).option("ignoreCorruptFiles", True).option("mode", "PERMISSIVE").csv(f"{folder}/batch_*.csv")
-    rows = rows.withColumn("__file", F.col("_metadata.file_path")).withColumn("__at", F.col("_metadata.file_block_start"))
-    place = [F.col("__file"), F.col("__at"), *([F.col(order)] if order else [])]
-    return rows.groupBy(key).agg(F.min_by(F.struct(*schema.names), F.struct(*place)).alias("__row")).select("__row.*")
+def read_batches(spark: SparkSession, folder: str, schema: T.StructType, key: str = "url") -> DataFrame:
+    """All batch_*.csv files of a folder, or folders of that name; the first row of each key, by file and then by its
+    place in the file, wins. Broken files are passed over."""
+    rows = spark.read.schema(schema).option("header", True).option("escape", '"').option("ignoreCorruptFiles", True).option("mode", "PERMISSIVE").csv(f"{folder}/batch_*.csv")
+    # rows of a block are read in order by one task, so their ids rise
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
+    return rows.select(*schema.names, place.alias("__place")).groupBy(key).agg(F.min_by(F.struct(*schema.names), "__place").alias("__row")).select("__row.*")
 
 
 def processed(spark: SparkSession, path: str, key: str = "filename", schema: T.StructType = SCRAPE_RESULTS) -> DataFrame:

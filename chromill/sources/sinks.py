@@ -27,8 +27,24 @@ def write_incremental(df: DataFrame, path: str, resume: bool = True) -> None:
 
 
 def write_batches(df: DataFrame, path: str, batch: str = "batch") -> None:
-    """One folder for each batch; a batch written again replaces only itself."""
-    df.write.partitionBy(batch).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+    """Each batch as CSV in a folder batch_001.csv, batch_002.csv, ..., which sources.files.read_batches reads; a batch written again
+    replaces only itself. All are written at once beside their places, then moved; a crash leaves old batches or new ones."""
+    spark, beside = df.sparkSession, f"{path}/_writing"
+    df.withColumn("__batch", F.col(batch)).write.partitionBy("__batch").mode("overwrite").option("header", True).option("escape", '"').csv(beside)
+    fs, _, jvm = _fs(spark, path)
+    hadoop_path = jvm.org.apache.hadoop.fs.Path
+    for status in fs.listStatus(hadoop_path(beside)):
+        name = status.getPath().getName()
+        if name.startswith("__batch="):
+            target = hadoop_path(f"{path}/batch_{int(name.removeprefix('__batch=')):03d}.csv")
+            fs.delete(target, True)
+            _moved(fs, status.getPath(), target)
+    fs.delete(hadoop_path(beside), True)
+
+
+def _moved(fs, source, target) -> None:
+    if not fs.rename(source, target):
+        raise OSError(f"could not move {source} to {target}")
 
 
 def write_document(df: DataFrame, path: str) -> None:
@@ -57,6 +73,6 @@ def rewrite_with_backup(df: DataFrame, path: str) -> str:
     if fs.exists(backup):
         fs.delete(backup, True)
     if fs.exists(target):
-        fs.rename(target, backup)
-    fs.rename(new, target)
+        _moved(fs, target, backup)
+    _moved(fs, new, target)
     return f"{path}.backup"

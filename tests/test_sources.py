@@ -19,9 +19,9 @@ def test_csv_scans(spark, tmp_path):
 
 def test_batches_first_wins(spark, tmp_path):
     (tmp_path / "batch_001.csv").write_text("url,red\na,1\nb,2\n")
-    (tmp_path / "batch_002.csv").write_text("url,red\na,9\nc,3\n")
+    (tmp_path / "batch_002.csv").write_text("url,red\na,9\nc,3\n" + "".join(f"d,{i}\n" for i in range(500)) + "c,4\n")
     got = files.read_batches(spark, str(tmp_path), schemas.T.StructType([schemas.T.StructField("url", schemas.T.StringType()), schemas.T.StructField("red", schemas.T.DoubleType())]))
-    assert sorted(map(tuple, got.collect())) == [("a", 1.0), ("b", 2.0), ("c", 3.0)]
+    assert sorted(map(tuple, got.collect())) == [("a", 1.0), ("b", 2.0), ("c", 3.0), ("d", 0.0)]
 
 
 def test_sinks(spark, tmp_path):
@@ -35,9 +35,11 @@ def test_sinks(spark, tmp_path):
     backup = sinks.rewrite_with_backup(spark.read.option("header", True).csv(out).where("k = 'a'"), out)
     assert spark.read.option("header", True).csv(out).count() == 1 and spark.read.option("header", True).csv(backup).count() == 2
     b = str(tmp_path / "b")
-    sinks.write_batches(df, b)
-    sinks.write_batches(df.where("batch = 2"), b)
-    assert spark.read.parquet(b).count() == 2
+    keyed = df.withColumnRenamed("k", "url")
+    sinks.write_batches(keyed, b)
+    sinks.write_batches(keyed.where("batch = 2").withColumn("url", F.lit("z, z")), b)
+    schema = schemas.T.StructType([schemas.T.StructField("url", schemas.T.StringType()), schemas.T.StructField("batch", schemas.T.IntegerType())])
+    assert sorted(map(tuple, files.read_batches(spark, b, schema).collect())) == [("a", 1), ("z, z", 2)]
     sinks.write_report(spark, "x\ny", str(tmp_path / "r"))
     assert spark.read.text(str(tmp_path / "r")).count() == 2
     sinks.write_images(spark.createDataFrame([("a", bytearray(b"xy"))], "filename string, content binary"), str(tmp_path / "i"))
