@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from chromill.llm import decontam, mixing, near_dedup, quality_rules, sharding
+from chromill.llm.common import remove, scratch
 
 SHARDS = 16
 
@@ -47,8 +48,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents table. Every stage cuts its own lineage where it gathers anything."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """All stages over the documents table.
+
+    Each stage's rows are written to the shared checkpoint folder and read as the next one's documents, so no
+    scan repeats an earlier stage; a folder goes once the next is written. The last one stays, as the result reads it.
+    """
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for _, stage in STAGES[:-1]:
+        path = scratch(spark, "pipeline")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        if before:
+            remove(spark, before)
+        docs, before = spark.read.parquet(path), path
+    return STAGES[-1][1](spark, docs, sf_dir)
