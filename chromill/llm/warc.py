@@ -41,44 +41,53 @@ def _lines(*pairs: tuple[str, Column]) -> Column:
     return F.concat(*[F.coalesce(F.concat(F.lit(f"{name}: "), F.regexp_replace(F.regexp_replace(value.cast("string"), "\r", "%0D"), "\n", "%0A"), F.lit(EOL)), F.lit("")) for name, value in pairs])
 
 
-def write_deduplicated(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z") -> None:
-    """Writes (page_id, url, html) as gzipped WARC files below path; repeated payloads become revisits.
-
-    Headers (digest, page_id, url) are shuffled by payload digest; of equal payloads that with the smallest
-    page_id (null last) is the response, and the others are joined to it and written without payload, with
-    headers of their own. A payload is the html in UTF-8, a null html is empty. Rows alike in page_id and payload
-    are written alike, so repeats of the response's row are responses too. Spark's text writer does the
-    writing: a record ends with two line ends, which is its line separator; so any store that Spark
-    writes to will do, and retried tasks leave no half files.
-    """
-    payload = F.coalesce("html", F.lit(""))
-    hashed = pages.select("page_id", "url", payload.alias("payload")).withColumn("digest", base32_sha1(F.col("payload"))).withColumn("bytes", F.octet_length("payload").cast("long"))
-    headers = cut(hashed.select("page_id", "url", "digest", "bytes"))
-    firsts = headers.groupBy("digest").agg(F.min_by(F.struct("page_id", "url"), F.struct(F.col("page_id").isNull(), "page_id", F.coalesce("url", F.lit("")))).alias("first"), F.count("*").alias("n"))
-    firsts = cut(firsts.where("n > 1").select("digest", "first"))
-    total, rows = headers.agg(F.sum("bytes"), F.count("*")).first()
-    joined = lookup(hashed, firsts, "digest").withColumn("revisit", F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first.page_id")))
-    revisit = F.col("revisit")
+def _records(rows: DataFrame, date: str, revisit: bool) -> DataFrame:
+    """The text of each record: of responses (page_id, url, digest, bytes, payload), or of revisits (page_id, url, digest, bytes, first)."""
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{EOL}Content-Type: text/html; charset=utf-8{EOL}Content-Length: "), F.col("bytes").cast("string"), F.lit(EOL + EOL))
-    block = F.concat(http, F.when(revisit, F.lit("")).otherwise(F.col("payload")))
-    only = lambda c: F.when(revisit, c)
+    block = http if revisit else F.concat(http, F.col("payload"))
+    refers = [
+        ("WARC-Profile", F.lit(PROFILE)),
+        ("WARC-Refers-To", _record_id(F.coalesce(F.col("first.page_id").cast("string"), F.lit("")), F.coalesce("first.url", F.lit("")))),
+        ("WARC-Refers-To-Target-URI", F.coalesce("first.url", F.lit("urn:unknown"))),
+        ("WARC-Refers-To-Date", F.lit(date)),
+    ] if revisit else []
     head = _lines(
-        ("WARC-Type", F.when(revisit, "revisit").otherwise("response")),
+        ("WARC-Type", F.lit("revisit" if revisit else "response")),
         ("WARC-Record-ID", _record_id(F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.coalesce("url", F.lit("")))),
         ("WARC-Date", F.lit(date)),
         ("WARC-Target-URI", F.coalesce("url", F.lit("urn:unknown"))),
         ("Page-ID", F.col("page_id")),
         ("WARC-Payload-Digest", F.concat(F.lit("sha1:"), "digest")),
-        ("WARC-Profile", only(F.lit(PROFILE))),
-        ("WARC-Refers-To", only(_record_id(F.coalesce(F.col("first.page_id").cast("string"), F.lit("")), F.coalesce("first.url", F.lit(""))))),
-        ("WARC-Refers-To-Target-URI", only(F.coalesce("first.url", F.lit("urn:unknown")))),
-        ("WARC-Refers-To-Date", only(F.lit(date))),
+        *refers,
         ("Content-Type", F.lit("application/http; msgtype=response")),
         ("Content-Length", F.octet_length(block)),
     )
-    record = F.concat(F.lit(VERSION + EOL), head, F.lit(EOL), block)
+    return rows.select(F.concat(F.lit(VERSION + EOL), head, F.lit(EOL), block).alias("value"))
+
+
+def write_deduplicated(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z") -> None:
+    """Writes (page_id, url, html) as gzipped WARC files below path; repeated payloads become revisits.
+
+    Headers (digest, page_id, url, bytes) are shuffled by payload digest; of equal payloads that with the smallest
+    page_id (null last) is the response, and the headers of the others are joined to it and make revisit records by
+    themselves. Payloads are read again for the responses, without the pages that are revisits: these are sent along
+    if they are few, else payloads are shuffled by page, never by digest. A payload is the html in UTF-8, a null html is
+    empty. Rows alike in page_id and payload are written alike, so repeats of the response's row are responses too.
+    Spark's text writer does the writing: a record ends with two line ends, which is its line separator; so any store
+    that Spark writes to will do, and retried tasks leave no half files.
+    """
+    payload = F.coalesce("html", F.lit(""))
+    hashed = pages.select("page_id", "url", payload.alias("payload")).withColumn("digest", base32_sha1(F.col("payload"))).withColumn("bytes", F.octet_length("payload").cast("long"))
+    headers = cut(hashed.select("page_id", "url", "digest", "bytes"))
+    firsts = headers.groupBy("digest").agg(F.min_by(F.struct("page_id", "url"), F.struct(F.col("page_id").isNull(), "page_id", F.coalesce("url", F.lit("")))).alias("first"), F.count("*").alias("n"))
+    firsts = cut(firsts.where("n > 1").select("digest", "first"))
+    total, rows = headers.agg(F.sum("bytes"), F.count("*")).first()
+    revisits = cut(lookup(headers, firsts, "digest", "inner").where(~F.col("page_id").eqNullSafe(F.col("first.page_id"))))
+    of = revisits.select(F.col("page_id").alias("of_page"), F.col("digest").alias("of_digest")).distinct()
+    responses = lookup(hashed, cut(of), F.col("page_id").eqNullSafe(F.col("of_page")) & (F.col("digest") == F.col("of_digest")), "left_anti")
+    records = _records(responses, date, False).unionByName(_records(revisits, date, True))
     per_file = max(1, int(FILE_BYTES * rows / max(total or 0, 1))) if rows else 1
-    joined.select(record.alias("value")).write.option("lineSep", EOL + EOL).option("compression", "gzip").option("maxRecordsPerFile", min(per_file, 2**31 - 1)).text(path)
+    records.write.option("lineSep", EOL + EOL).option("compression", "gzip").option("maxRecordsPerFile", min(per_file, 2**31 - 1)).text(path)
 
 
 def _members(data: bytes) -> bytes:
