@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.colorspace import hsv_8bit, lab_of, with_lab
+from ..functions.colorspace import SRGB_8, WHITE_8, hsv_8bit, lab_8bit, lab_of, with_lab
 from ..operators import engineered as e
 from ..operators import palette, pixels
 from ..schemas import ANALOGOUS, COLOUR_NAMES, COLOURS, COMPLEMENTARY, COOL, NEUTRAL, PAIRS, PRIMARY, WARM
@@ -88,6 +88,18 @@ def q_pixel_hsv(spark, sf_dir):
     return p.select("r", "g", "b", *[c.alias(n) for n, c in hsv_8bit(F.col("r"), F.col("g"), F.col("b")).items()])
 
 
+def q_pixel_lab8(spark, sf_dir):
+    """I15"""
+    p = d.pixels(spark, sf_dir).select("r", "g", "b").distinct()
+    return p.select("r", "g", "b", *[c.alias(n) for n, c in lab_8bit(F.col("r"), F.col("g"), F.col("b")).items()])
+
+
+def q_image_features_lab(spark, sf_dir):
+    """E1, E2, I16"""
+    f = pixels.image_features(d.pixels(spark, sf_dir))
+    return f.select("image_id", *[F.round(c, 6).alias(c) for c in f.columns if "_lab_" in c])
+
+
 def q_image_features_bgr(spark, sf_dir):
     """E1, E2"""
     f = pixels.image_features(d.pixels(spark, sf_dir))
@@ -111,7 +123,7 @@ def r_image_palettes(spark, sf_dir):
 
 QUERIES = [
     q_palette_temperature, q_engineered_ratios, q_engineered_dominance, q_engineered_harmony, q_engineered_balance, q_engineered_dominant, q_engineered_validation,
-    q_palette_smoothing, q_pixel_lab, q_ciede2000_pairs, q_nearest_basic_colour, q_colour_share_pivot, q_pixel_hsv, q_image_features_bgr, q_unique_pixels, r_dominant_colours, r_image_palettes,
+    q_palette_smoothing, q_pixel_lab, q_ciede2000_pairs, q_nearest_basic_colour, q_colour_share_pivot, q_pixel_hsv, q_pixel_lab8, q_image_features_bgr, q_image_features_lab, q_unique_pixels, r_dominant_colours, r_image_palettes,
 ]
 
 _names = ", ".join(f"'{c}'" for c in COLOUR_NAMES)
@@ -148,7 +160,17 @@ _V, _M = "greatest(r, g, b)", "least(r, g, b)"
 _HUE = f"case when {_V} = {_M} then 0.0::double when {_V} = r then (g - b) * 60.0::double / ({_V} - {_M}) when {_V} = g then (b - r) * 60.0::double / ({_V} - {_M}) + 120 else (r - g) * 60.0::double / ({_V} - {_M}) + 240 end"
 _HSV = f"hue as (select *, {_HUE} as deg from {{src}}), h2 as (select *, floor(case when deg < 0 then deg + 360 else deg end / 2 + 0.5::double) as hh from hue), hsv as (select * exclude (deg, hh), cast(case when hh >= 180 then hh - 180 else hh end as integer) as h, cast(floor(case when {_V} = 0 then 0.0::double else ({_V} - {_M}) * 255.0::double / {_V} end + 0.5::double) as integer) as s, {_V} as v from h2)"
 
+_XYZ8 = ", ".join(f"(lin_r * {m[0]}::double + lin_g * {m[1]}::double + lin_b * {m[2]}::double) / {w}::double as {n}" for n, m, w in zip("xyz", SRGB_8, WHITE_8, strict=True))
+_F8 = ", ".join(f"case when {n} > 0.008856::double then cbrt({n}) else {n} * 7.787::double + 16.0::double / 116.0::double end as f{n}" for n in "xyz")
+_to8 = lambda e: f"cast(least(greatest(floor({e} + 0.5::double), 0), 255) as integer)"
+_LAB8 = f"""{d.PIXELS}, seen as (select distinct r, g, b from pixels), lin8 as (select r, g, b, {_LIN} from seen), xyz8 as (select r, g, b, {_XYZ8} from lin8), f8 as (select *, {_F8} from xyz8),
+ lab8 as (select r, g, b, {_to8("(case when y > 0.008856::double then cbrt(y) * 116.0::double - 16.0::double else y * 903.3::double end) * 255.0::double / 100.0::double")} as lab_l8,
+ {_to8("(fx - fy) * 500.0::double + 128.0::double")} as lab_a8, {_to8("(fy - fz) * 200.0::double + 128.0::double")} as lab_b8 from f8)"""
+_STATS8 = ", ".join(f"round({fn}({c}), 6) as {n}_lab_{stat}" for stat, fn in (("mean", "avg"), ("std", "stddev_pop")) for n, c in (("l", "lab_l8"), ("a", "lab_a8"), ("b", "lab_b8")))
+
 SQL = {
+    "q_pixel_lab8": f"with {_LAB8} select r, g, b, lab_l8, lab_a8, lab_b8 from lab8",
+    "q_image_features_lab": f"with {_LAB8} select image_id, {_STATS8} from pixels join lab8 using (r, g, b) group by image_id",
     "q_palette_temperature": f"with {d.PAL12}, {_SMOOTH}, typed as (select {_TEMPERATURE.format(x=_DOMINANT)} as temperature, abs({_warm} - {_cool}) as balance from smoothed) select temperature, count(*) as n_artworks, round(avg(balance), 6) as avg_balance from typed group by 1",
     "q_engineered_ratios": f"with {d.PAL12} select url, {', '.join(f'round({a} / ({b} + 0.001::double), 6) as {a}_{b}_ratio' for a, b in PAIRS)} from pal12",
     "q_engineered_dominance": f"with {d.PAL12} select url, {', '.join(_flag(f'{a} > {b}') + f' as {a}_{b}_dominance' for a, b in PAIRS)} from pal12",

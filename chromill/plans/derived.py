@@ -79,6 +79,23 @@ def html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.col("url").alias("page"), F.concat(F.expr(inject), "html").alias("html"))
 
 
+# pages whose markup hides or disguises the image, by page_id % 6: references in a URL, an image without a source, one in a
+# comment, one in a script, references with and without an end, a larger image that has no source
+_MARKUP = (
+    """'<meta property="og:image" content="https://x.org/i?a=1&amp;b=' || {p} || '">'""",
+    """'<img alt="x"><img src="https://x.org/a' || {p} || '.jpg">'""",
+    """'<!-- <img src="c.jpg" width="900" height="900"> --><img src="https://x.org/d' || {p} || '.jpg">'""",
+    """'<script>var a = "<img src=e.jpg>";</script><style>/* <meta property="og:image" content="f.jpg"> */</style>' || ''""",
+    """'<meta name="twitter:image" content="https://x.org/&lt;t' || {p} || '&#62;?x=1&copy=2">'""",
+    """'<img width="900" height="900"><img src="https://x.org/s' || {p} || '.jpg" width="200" height="100">'""",
+)
+
+
+def markup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    forms = "case page_id % 6 " + " ".join(f"when {i} then {t.format(p='cast(page_id as string)')}" for i, t in enumerate(_MARKUP)) + " end"
+    return table(spark, sf_dir, "pages").select("page_id", F.col("url").alias("page"), F.concat(F.expr(forms), "html").alias("html"))
+
+
 def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fetch attempts: host, order and HTTP status, from events."""
     status = F.when(F.col("event_type") == "error", 429).when(F.col("event_type") == "signup", 403).when(F.col("event_type") == "purchase", 405).otherwise(200)

@@ -26,6 +26,11 @@ def r_scrape_cascade_parsed(spark, sf_dir):
     return s.extract_images(d.html(spark, sf_dir)).select("page_id", "image_url", "source")
 
 
+def q_scrape_cascade_markup(spark, sf_dir):
+    """References, comments, scripts and images without a source"""
+    return s.extract_images(d.markup(spark, sf_dir), exact_json=False).select("page_id", "image_url", "source")
+
+
 def _status_rows(spark, sf_dir):
     p = d.html(spark, sf_dir)
     i = F.col("page_id")
@@ -110,7 +115,7 @@ def q_backoff_state(spark, sf_dir):
 
 
 QUERIES = [
-    q_scrape_clean, q_scrape_cascade, r_scrape_cascade_parsed, q_scrape_status, q_scrape_largest_img, q_url_join, q_resume_anti_join, q_start_from_suffix, q_take_until_prefix,
+    q_scrape_clean, q_scrape_cascade, r_scrape_cascade_parsed, q_scrape_cascade_markup, q_scrape_status, q_scrape_largest_img, q_url_join, q_resume_anti_join, q_start_from_suffix, q_take_until_prefix,
     q_batch_numbers, q_first_wins_dedup, q_source_union, q_detail_map, q_success_rate, q_backoff_state,
 ]
 
@@ -123,6 +128,8 @@ _JOIN = """case when {u} is null or {u} = '' then {u} when regexp_matches({u}, '
 _UP = r"regexp_replace(regexp_replace({x}, '^([a-z]+://[^/]+)((?:/[^/]+)*?)/[^/]+/\.\./', '\1\2/'), '^([a-z]+://[^/]+)/\.\./', '\1/')"
 
 SQL = {
+    "q_scrape_cascade_markup": """select page_id, ['og:image', 'fallback:img', 'fallback:img', 'none_found', 'twitter:image', 'fallback:img'][page_id % 6 + 1] as source,
+      ['https://x.org/i?a=1&b=' || page_id, 'https://x.org/a' || page_id || '.jpg', 'https://x.org/d' || page_id || '.jpg', null, 'https://x.org/<t' || page_id || '>?x=1&copy=2', 'https://x.org/s' || page_id || '.jpg'][page_id % 6 + 1] as image_url from pages""",
     "q_scrape_clean": "select page_id as \"index\", url as image, page_id || '.jpg' as filename from pages where page_id % 5 <> 0",
     "q_scrape_cascade": f"""with {d.HTML}, m as (select page_id, page, html, regexp_extract(html, '<meta property="og:image" content="([^"]*)"', 1) as og, regexp_extract(html, '<meta name="twitter:image" content="([^"]*)"', 1) as tw,
       regexp_extract(html, 'ld\\+json">(.*?)</script>', 1) as ld from html),

@@ -65,7 +65,7 @@ def q_histogram(spark, sf_dir):
     return eda.histogram(d.table(spark, sf_dir, "events"), "value").select("bin", F.round("low", 6).alias("low"), "n")
 
 
-def r_density(spark, sf_dir):
+def q_density(spark, sf_dir):
     """E22"""
     long = eda.melt(d.feat18(spark, sf_dir).select("color", *BGR), ["color"], BGR)
     return eda.density(long, "channel").select("channel", "i", F.round("x", 6).alias("x"), F.round("density", 6).alias("density"))
@@ -131,6 +131,12 @@ def q_silhouette_exact(spark, sf_dir):
     return s.groupBy("cluster_id").agg(F.round(F.avg("silhouette"), 6).alias("mean_silhouette"), F.round(F.median("silhouette"), 6).alias("median_silhouette"), (F.median("silhouette") < 0).alias("is_negative"))
 
 
+def q_silhouette_bars(spark, sf_dir):
+    """F7"""
+    scored = cluster.silhouette(d.feat18(spark, sf_dir), FEATURES_18, "vec_id", limit=None).withColumn("silhouette", F.round("silhouette", 9))
+    return cluster.silhouette_bars(scored).select("vec_id", "cluster_id", F.round("silhouette", 6).alias("silhouette"), "place")
+
+
 def _inertia(spark, sf_dir):
     return d.table(spark, sf_dir, "events").where("event_id < 30").select(F.col("event_id").alias("run"), (F.lit(1000.0) + F.col("value") / (F.col("event_id") + 1)).alias("inertia"))
 
@@ -169,12 +175,12 @@ def r_choose_k(spark, sf_dir):
 
 
 def r_classify(spark, sf_dir):
-    """Scores of the five families on a stratified hold-out."""
+    """Scores of the five families on a stratified hold-out."""
     split = cluster.stratified(cluster.standard_scale(d.feat18(spark, sf_dir), FEATURES_18), "color", [F.xxhash64("vec_id")])
     prepared, _ = classify.prepare(split, FEATURES_18)
     prepared = prepared.persist()
     rows, n = [], prepared.count()
-    families = classify.models(len(FEATURES_18), 10, n)
+    families = classify.models(FEATURES_18, 10, n)
     for name, estimator in families.items():
         s = eda.weighted_scores(estimator.fit(prepared.where(~F.col("is_test"))).transform(prepared.where("is_test")), "label", "prediction").first()
         rows.append((name, *map(float, s)))
@@ -183,8 +189,8 @@ def r_classify(spark, sf_dir):
 
 
 QUERIES = [
-    q_left_join_metadata, q_lookup_join, q_value_counts, q_describe, q_null_counts, q_nunique, q_melt_group_median, q_boxplot_stats, q_histogram, r_density, q_confusion_matrix,
-    q_weighted_prf, q_stratified_split_counts, q_stratified_folds, q_standard_scale, q_variance_cumsum, q_cluster_sizes, q_cluster_profile, q_nearest_centroid, q_silhouette_exact,
+    q_left_join_metadata, q_lookup_join, q_value_counts, q_describe, q_null_counts, q_nunique, q_melt_group_median, q_boxplot_stats, q_histogram, q_density, q_confusion_matrix,
+    q_weighted_prf, q_stratified_split_counts, q_stratified_folds, q_standard_scale, q_variance_cumsum, q_cluster_sizes, q_cluster_profile, q_nearest_centroid, q_silhouette_exact, q_silhouette_bars,
     q_early_stop, q_knee, q_best_per_group, r_pca_kmeans, r_choose_k, r_classify,
 ]
 
@@ -223,6 +229,13 @@ SQL = {
     "q_silhouette_exact": f"""with {d.FEAT18}, g as (select f.vec_id, f.cluster_id as own, m.cluster_id as other, sum(sqrt({_D2})) as total, count(*) as n from feat18 f, feat18 m group by 1, 2, 3),
       a as (select vec_id, own, max(case when own = other and n > 1 then total / (n - 1) end) as a, min(case when own <> other then total / n end) as b from g group by 1, 2), s as (select own as cluster_id, coalesce((b - a) / greatest(a, b), 0.0::double) as s from a)
       select cluster_id, round(avg(s), 6) as mean_silhouette, round(quantile_cont(s, 0.5), 6) as median_silhouette, quantile_cont(s, 0.5) < 0 as is_negative from s group by 1""",
+    "q_silhouette_bars": f"""with {d.FEAT18}, g as (select f.vec_id, f.cluster_id as own, m.cluster_id as other, sum(sqrt({_D2})) as total, count(*) as n from feat18 f, feat18 m group by 1, 2, 3),
+      a as (select vec_id, own, max(case when own = other and n > 1 then total / (n - 1) end) as a, min(case when own <> other then total / n end) as b from g group by 1, 2),
+      s as (select vec_id, own as cluster_id, round(coalesce((b - a) / greatest(a, b), 0.0::double), 9) as s from a)
+      select vec_id, cluster_id, round(s, 6) as silhouette, row_number() over (order by cluster_id, s, vec_id) - 1 + 10 * (dense_rank() over (order by cluster_id) - 1) as place from s""",
+    "q_density": f"""with {_MELT}, g as (select channel, count(value) as n, stddev_samp(value) * pow(count(value), -0.2::double) as h, min(value) as lo, max(value) as hi from melted group by 1),
+      p as (select *, lo - 3 * h + (hi - lo + 6 * h) * i / 63 as x from g, range(64) r(i))
+      select channel, cast(i as integer) as i, round(x, 6) as x, round(sum(exp(-0.5::double * pow((x - value) / h, 2)) / (sqrt(2 * pi()) * h * n)), 6) as density from p join melted using (channel) group by channel, i, x""",
     "q_early_stop": """with r as (select event_id as run, 1000.0::double + value / (event_id + 1) as inertia from events where event_id < 30),
       w as (select run, min(inertia) over (order by run) as best, max(inertia) over f as hi, min(inertia) over f as lo from r window f as (order by run rows between 4 preceding and current row)) select run, round(best, 6) as best_so_far, run >= 5 and (hi - lo) / lo < 0.01 as stop from w""",
     "q_knee": """with r as (select event_id as k, 1000.0::double / event_id as y from events where event_id between 1 and 30), n as (select k, (k - min(k) over ()) / cast(max(k) over () - min(k) over () as double) as x, (y - min(y) over ()) / (max(y) over () - min(y) over ()) as yn, 1.0::double / (count(*) over () - 1) as step from r),

@@ -2,6 +2,7 @@ import pytest
 
 import __spark_entry__ as entry
 from chromill.plans import catalogue
+from chromill.schemas import FEATURES_18
 from tests.compare import same
 
 ORACLES = catalogue.oracle_sql()
@@ -12,7 +13,7 @@ def test_query_equals_sql(spark, sf_dir, name):
     same(catalogue.queries()[name](spark, sf_dir), ORACLES[name], sf_dir)
 
 
-@pytest.mark.parametrize("name", ["r_scrape_cascade_parsed", "r_dominant_colours", "r_image_palettes", "r_density", "r_combinations", "r_combination_document", "r_pca_kmeans"])
+@pytest.mark.parametrize("name", ["r_scrape_cascade_parsed", "r_dominant_colours", "r_image_palettes", "r_combinations", "r_combination_document", "r_pca_kmeans"])
 def test_query_without_sql_gives_rows(spark, sf_dir, name):
     assert catalogue.queries()[name](spark, sf_dir).count() > 0
 
@@ -44,7 +45,7 @@ def test_reference_queries_run_whole_jobs(spark, monkeypatch):
     combinations.r_combinations(spark, "/root/testdata/sf0.001")
     monkeypatch.setattr(cluster, "choose_k", lambda f, ks, **how: (seen.update(ks=list(ks), choose=how), (30, [(30, 1.0, 0.5)]))[1])
     stats.r_choose_k(spark, "/root/testdata/sf0.001")
-    families = classify.models(18, 10, 500)
+    families = classify.models(FEATURES_18, 10, 500)
     few = families["logistic regression"].setMaxIter(1)
     monkeypatch.setattr(classify, "models", lambda *_: dict.fromkeys(families, few))
     assert seen == {"build": {}, "ks": list(range(20, 41)), "choose": {"starts": 30}}

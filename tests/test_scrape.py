@@ -27,6 +27,14 @@ CASES = [
     ('<img src="s.jpg" width="10" height="10"><img src="n.jpg">', "http://h/p/n.jpg", "fallback:img"),
     ('<script type="application/ld+json"></script><img src="s.jpg" width="10" height="10">', None, "none_found"),
     (None, None, "none_found"),
+    ('<meta property="og:image" content="https://x.org/i?a=1&amp;b=2&copy=3&#x2F;z">', "https://x.org/i?a=1&b=2&copy=3/z", "og:image"),
+    ('<img alt="x"><img src="a.jpg">', "http://h/p/a.jpg", "fallback:img"),
+    ('<img width="900" height="900"><img src="" data-src=""><img src="a.jpg?x&lt;1" width="200" height="100">', "http://h/p/a.jpg?x<1", "fallback:img"),
+    ('<!-- <img src="c.jpg"> --><img src="d.jpg">', "http://h/p/d.jpg", "fallback:img"),
+    ('<!-- <script type="application/ld+json">{"image":"c.jpg"}</script> --><script type=application/ld+json>{"image":"<!-- x -->d.jpg"}</script>', "http://h/p/<!-- x -->d.jpg", "jsonld"),
+    ('<script>"<meta property=og:image content=x.jpg>"</script><img src="d.jpg">', "http://h/p/d.jpg", "fallback:img"),
+    ('<script type="application/ld+json">{"image":"","part":{"image":"p.jpg"}}</script><img src="d.jpg">', "http://h/p/d.jpg", "fallback:img"),
+    ('<!-- never closed <img src="c.jpg">', None, "none_found"),
 ]
 
 
@@ -38,7 +46,7 @@ def test_cascade(spark):
 
 def test_largest_image(spark):
     df = spark.createDataFrame([(i, c[0]) for i, c in enumerate(CASES)], "page_id int, html string")
-    assert {r.page_id: (r.src, r.area) for r in s.largest_image(s.image_tags(df)).collect()} == {4: ("b.jpg", 20000), 5: ("n.jpg", 0)}
+    assert {r.page_id: (r.src, r.area) for r in s.largest_image(s.image_tags(df)).collect()} == {4: ("b.jpg", 20000), 5: ("n.jpg", 0), 9: ("a.jpg", 0), 10: ("a.jpg?x<1", 20000), 11: ("d.jpg", 0), 13: ("d.jpg", 0), 14: ("d.jpg", 0)}
 
 
 def test_status(spark):
@@ -88,3 +96,20 @@ def test_details_and_cleaning(spark):
 @pytest.mark.parametrize(("text", "want"), [("12.5px", 125), ("100%", 100), ("auto", None), (None, None)])
 def test_dimension(spark, text, want):
     assert spark.createDataFrame([(text,)], "t string").select(h.dimension(F.col("t"))).first()[0] == want
+
+
+def test_nothing_is_cut_off(spark):
+    deep = "/".join(f"s{i}" for i in range(10_050))
+    df = spark.createDataFrame([(f"http://h/{deep}/x.html", "../i.jpg", "k:" + ":".join(map(str, range(1200))))], "b string, u string, item string")
+    r = df.select(join_url(F.col("b"), F.col("u")).alias("j"), h.detail_map(F.array("item")).alias("m")).first()
+    assert r.j == urljoin(f"http://h/{deep}/x.html", "../i.jpg") and r.m == {"k": "".join(map(str, range(1200)))}
+
+
+def test_backoff_equals_a_fold(spark):
+    rows = [(i % 3, i, (200, 429, 403, 429, 429, 200, 429)[(i * i) % 7]) for i in range(400)]
+    got = {r.host: (r.n_attempts, r.backoff) for r in s.backoff(spark.createDataFrame(rows, "host int, ts int, status int").repartition(7), order=("ts",)).collect()}
+    for host in range(3):
+        value, own = 1.0, [x for x in rows if x[0] == host]
+        for _, _, status in own:
+            value = max(value * 0.9, 0.5) if status == 200 else min(value * 1.5, 5.0) if status == 429 else value
+        assert got[host] == (len(own), pytest.approx(value))
