@@ -16,11 +16,24 @@ WHITE = " \t\n\x0b\x0c\r"
 BROADCAST_BYTES = 32 << 20
 
 
+#: Bytes of an Arrow batch that goes to a Python worker; Spark's own bound is eight times as much, and a text's copies add up.
+ARROW_BYTES = 8 << 20
+_ARROW_SETTING, _ARROW_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bounds Arrow batches by ARROW_BYTES, unless the session has a bound of its own."""
+    if spark.conf.get(_ARROW_SETTING).rstrip("b") == str(_ARROW_DEFAULT):
+        spark.conf.set(_ARROW_SETTING, str(ARROW_BYTES))
+
+
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a new one where that is unset, as in tests."""
+    """The folder all executors share: spark.checkpoint.dir. Where that is unset, a new one on a local master, as in tests; else an error."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="chromill-"))
     return context.getCheckpointDir()
 

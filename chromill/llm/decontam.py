@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fits, lookup, unused
+from .common import bound_batches, cut, fits, lookup, unused
 from .tokens import fold, remembered, slices, split_words, windows
 
 #: Tokens of a template window.
@@ -24,10 +24,27 @@ MIN_TOKENS = 13
 FILTER_WINDOWS = 2_000_000
 
 # Units, and numbers in words.
-UNITS = frozenset("mm cm m km in inch inches ft feet yd yards mile miles mg g kg lb lbs oz ounces pounds ml l liter liters litres gallon gallons s sec seconds min minutes h hr hour hours day days week weeks month months year years % percent dollar dollars cent cents euro euros usd eur gbp mph kmh kph hz khz mhz w kw v kb mb gb tb degrees celsius fahrenheit".split())
-NUMBERS = frozenset("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion".split())
-
-_NUMBER = re.compile(r"[+-]?[$€£]?[0-9][0-9.,:/]*(?:st|nd|rd|th|k|m|%)?")
+UNITS = frozenset(
+    (
+        "nm mm cm dm m km millimetre millimetres millimeter millimeters centimetre centimetres centimeter centimeters metre metres meter meters kilometre kilometres "
+        "kilometer kilometers in inch inches ft foot feet yd yard yards mi mile miles acre acres hectare hectares mg g kg lb lbs gram grams gramme grammes kilogram "
+        "kilograms tonne tonnes ton tons oz ounce ounces pound pounds ml cl dl l millilitre millilitres milliliter milliliters liter liters litre litres gallon gallons pint "
+        "pints quart quarts cup cups teaspoon teaspoons tablespoon tablespoons ms s sec secs second seconds min mins minute minutes h hr hrs hour hours day days week "
+        "weeks month months year years decade decades century centuries % percent per-cent point points dollar dollars cent cents euro euros penny pence usd eur gbp "
+        "rupee rupees yen franc francs mph kmh km/h kph m/s hz khz mhz ghz w kw mw watt watts volt volts v amp amps ampere amperes ohm ohms joule joules calorie calories "
+        "kcal newton newtons b kb mb gb tb byte bytes bit bits degree degrees celsius fahrenheit kelvin radians dozen"
+    ).split()
+)
+NUMBERS = frozenset(
+    (
+        "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty "
+        "sixty seventy eighty ninety hundred thousand million billion trillion half third quarter twice thrice"
+    ).split()
+)
+
+# a number with what is written onto it: a currency, an ordinal's ending, a unit
+_NUMBER = re.compile(r"[+-]?[$€£¥]?[0-9][0-9.,:/]*(?:st|nd|rd|th|%|°[cf]?|[kmb]n?|" + "|".join(sorted(map(re.escape, UNITS), key=len, reverse=True)) + r")?")
+_COMPOUND = re.compile("(?:" + "|".join(sorted(NUMBERS, key=len, reverse=True)) + ")(?:-(?:" + "|".join(sorted(NUMBERS, key=len, reverse=True)) + "))+")
 _EDGES = re.compile(r"^[^\w$€£+-]+|[^\w%]+$")
 _LITERAL, _NUM, _CAPITAL, _UNIT, _SKIP = range(5)
 _SLOT = np.array([xxhash.xxh64_intdigest(x) for x in ("", "<NUM>", "<NAME>", "<UNIT>", "")], np.uint64)
@@ -37,7 +54,7 @@ def _token(raw: str) -> tuple[int, int, bool, bool]:
     """Kind, hash of the bare lower-case word, whether a sentence ends here, whether it can be a unit."""
     bare = _EDGES.sub("", raw)
     low = bare.lower()
-    kind = _SKIP if not bare else _NUM if _NUMBER.fullmatch(low) or low in NUMBERS else _CAPITAL if bare[0].isupper() and bare[1:].islower() else _LITERAL
+    kind = _SKIP if not bare else _NUM if _NUMBER.fullmatch(low) or low in NUMBERS or _COMPOUND.fullmatch(low) else _CAPITAL if bare[0].isupper() and bare[1:].islower() else _LITERAL
     return kind, xxhash.xxh64_intdigest(low), raw.rstrip("\"')]»”").endswith((".", "!", "?", ":")), low in UNITS
 
 
@@ -176,6 +193,8 @@ def _stretches(slots: list[tuple[list[int], list[int]]]) -> list[tuple[int, int]
     return out
 
 
+#: Runs that are judged at once.
+RUNS_AT_ONCE = 100
 RUNS = "doc_id long, item_id long, text_key long, places array<int>, worded array<int>, verbatim array<int>, n_slots long, n_changed long"
 
 
@@ -188,7 +207,8 @@ def _judge_runs(min_windows: int):
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        # few runs at a time, as their windows take some fifty times as much as Python objects
+        for batch in (b.slice(at, RUNS_AT_ONCE) for b in batches for at in range(0, b.num_rows, RUNS_AT_ONCE)):
             out = []
             for r in batch.to_pylist():
                 met = sorted(r["met"], key=lambda w: (w["place"], w["item_slots"]))
@@ -230,6 +250,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, min_tokens: int = MIN_TOKE
     distinct windows are few (counted first) they filter the scan; otherwise all of the documents' windows
     are shuffled.
     """
+    bound_batches(docs.sparkSession)
     items = cut(benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.xxhash64("text").alias("text_key"), "text").mapInArrow(_window_rows(list(range(1, WINDOW + 1)), None, True, "item_id"), MATCHES))
     lengths = sorted(r[0] for r in items.select("length").distinct().collect())
     hashes = items.select("window").distinct()

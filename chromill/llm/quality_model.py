@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import bound_batches, cut
 from .tokens import remembered, slices, split_words
 
 #: Weights of the scorer; features are hashed into so many places.
@@ -287,6 +287,7 @@ def score(docs: DataFrame, labels: DataFrame | None = None, train_rows: int = TR
     least least_quality and toxic at most most_toxic. A null or empty text has no features and takes the
     bias' score; repeated rows score alike; an empty table gives no rows.
     """
+    bound_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     votes = docs.mapInArrow(_label, "doc_id long, quality array<int>, toxic array<int>")
     none = F.lit(0)

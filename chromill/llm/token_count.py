@@ -13,6 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bound_batches
 from .tokens import slices
 
 #: The mark that stands for a space.
@@ -21,8 +22,10 @@ SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
 #: Segments remembered by a worker before it starts anew.
 CACHE = 1_000_000
-#: Characters of a text beyond which its segments are found without regular expressions over the whole batch.
+#: The mark at which texts are cut; a text that holds it is searched as a whole.
 _CUT = "\x00"
+#: Characters of a segment beyond which only the places that a piece can still reach are kept.
+FORGET = 1 << 14
 
 
 @dataclass(frozen=True)
@@ -69,6 +72,7 @@ class Counter:
         for piece, score in zip(vocabulary.pieces, vocabulary.scores, strict=True):
             self.automaton.add_word(piece, (len(piece), score))
         self.automaton.make_automaton()
+        self.longest = max(map(len, vocabulary.pieces), default=1)
         self.single = {p for p in vocabulary.pieces if len(p) == 1}
         self.unknown = min(vocabulary.scores, default=0.0) - UNKNOWN_PENALTY
         self.bytes = vocabulary.byte_fallback
@@ -88,6 +92,8 @@ class Counter:
         Without byte fallback a run of unknown characters is one piece.
         """
         n = len(text)
+        if n > FORGET:
+            return self._long(text)
         score, count, last = [float("-inf")] * (n + 1), [0] * (n + 1), [False] * (n + 1)
         first = [False] * (n + 1)
         score[0], at = 0.0, 0
@@ -110,6 +116,32 @@ class Counter:
             close(at)
         return count[n], score[n] if n else 0.0, first[n], last[n]
 
+    def _long(self, text: str) -> tuple[int, float, bool, bool]:
+        """segment() of a long text: places share slots, as no piece reaches back by more than the longest one's characters."""
+        size = 1 << (self.longest + 1).bit_length()
+        mask, n, at = size - 1, len(text), 0
+        score, count, last, first = [float("-inf")] * size, [0] * size, [False] * size, [False] * size
+        score[0] = 0.0
+
+        def close() -> None:
+            nonlocal at
+            at += 1
+            i, before, after, char = at & mask, (at - 1) & mask, (at + 1) & mask, text[at - 1]
+            if char not in self.single and (c := score[before] + self.unknown) > score[i]:
+                score[i], last[i], first[i] = c, True, first[before] if at > 1 else True
+                count[i] = count[before] + (len(char.encode("utf-8", "surrogatepass")) if self.bytes else not last[before])
+            score[after], count[after], last[after], first[after] = float("-inf"), 0, False, False
+
+        for end, (length, value) in self.automaton.iter(text):
+            while at < end:
+                close()
+            i, begin = (end + 1) & mask, end + 1 - length
+            if (c := score[begin & mask] + value) > score[i]:
+                score[i], count[i], last[i], first[i] = c, count[begin & mask] + 1, False, first[begin & mask] if begin else False
+        while at < n:
+            close()
+        return count[n & mask], score[n & mask], first[n & mask], last[n & mask]
+
     def known(self, text: str) -> tuple[int, float, bool, bool]:
         if (found := self.cache.get(text)) is None:
             if len(self.cache) >= CACHE:
@@ -123,9 +155,16 @@ class Counter:
         if space_prefix:
             empty = pc.equal(marked, "")
             marked = pc.if_else(empty, "", pc.binary_join_element_wise(pa.scalar(SPACE, pa.large_string()), marked, pa.scalar("", pa.large_string())))
-        if not self.by_space or pc.any(pc.match_substring(marked, _CUT)).as_py():
-            found = [self.segment(t) for t in marked.to_pylist()]
-            return np.array([f[0] for f in found], np.int64), np.array([f[1] for f in found])
+        whole = pc.match_substring(marked, _CUT) if self.by_space else pa.array([True] * len(marked))
+        if pc.any(whole).as_py():  # each by itself, so that a text's score does not hang on the others
+            found = {i: self.segment(marked[i].as_py()) for i in np.flatnonzero(whole.to_numpy(zero_copy_only=False))}
+            tokens, scores = self._split(pc.if_else(whole, "", marked))
+            for i, f in found.items():
+                tokens[i], scores[i] = f[:2]
+            return tokens, scores
+        return self._split(marked)
+
+    def _split(self, marked: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         marked = pc.replace_substring_regex(marked, f"({SPACE}+)", rf"{_CUT}\1")
         if self.alone:
             marked = pc.replace_substring_regex(marked, "([" + "".join(map(re.escape, self.alone)) + "])", rf"{_CUT}\1{_CUT}")
@@ -135,7 +174,7 @@ class Counter:
         coded = lists.flatten().dictionary_encode()
         table = [self.known(s) for s in coded.dictionary.to_pylist()]
         if not table:
-            return np.zeros(len(texts), np.int64), np.zeros(len(texts))
+            return np.zeros(len(marked), np.int64), np.zeros(len(marked))
         codes = coded.indices.to_numpy()
         pieces, scores, first, last = (np.array(c) for c in zip(*table, strict=True))
         n, s = pieces[codes].astype(np.int64), scores[codes].astype(np.float64)
@@ -168,4 +207,5 @@ def count_tokens(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
             tokens, score = counter.count(batch.column("text"), vocabulary.space_prefix)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(tokens, pa.int64()), pa.array(score, pa.float64())], names=["doc_id", "n_tokens", "score"])
 
+    bound_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, score double")

@@ -31,8 +31,8 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", times: int =
         pa.default_memory_pool().release_unused()
 
 
-#: Distinct words whose properties a worker remembers before it starts anew.
-REMEMBERED = 500_000
+#: Distinct words whose properties a worker remembers before it starts anew; some 250 bytes each.
+REMEMBERED = 100_000
 
 
 def remembered(words: pa.DictionaryArray, memory: dict, make: Callable[[str], tuple]) -> list[tuple]:
