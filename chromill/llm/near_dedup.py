@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, lookup, unused
+from .common import bound_batches, cut, lookup, unused
 from .components import components
 from .tokens import fold, shingle_sets, slices
 
@@ -25,7 +25,9 @@ MARGIN = 6.0
 #: Shingles of the sample, expected, from which the order of shingles is taken.
 ORDER_SHINGLES = 1_000_000
 #: Ratio of the sizes of a class.
-SIZE_CLASS = 1.02
+SIZE_CLASS = 1.1
+#: Members of a bucket up to which signatures are compared within it.
+SMALL = 64
 _NO_ID = -(2**63)
 
 _draw = np.random.default_rng(20240607)
@@ -108,7 +110,7 @@ _ODD_BITS = 0x5555555555555555
 
 def _unequal(a: str, b: str) -> F.Column:
     """Minima whose kept bits differ, by counting bits of the packed signatures."""
-    return F.expr(f"aggregate(zip_with({a}, {b}, (x, y) -> bit_count(((x ^ y) | shiftrightunsigned(x ^ y, 1)) & {_ODD_BITS}L)), 0, (n, c) -> n + c)")
+    return F.expr(" + ".join(f"bit_count((({a}[{i}] ^ {b}[{i}]) | shiftrightunsigned({a}[{i}] ^ {b}[{i}], 1)) & {_ODD_BITS}L)" for i in range(_LONGS)))
 
 
 def _prefixes(k: int, percent: int, common: np.ndarray, often: np.ndarray):
@@ -167,6 +169,7 @@ def link(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     sets. Where a bucket's members are still in several components, _across finds every link between
     them without pairing the members. So no link inside a bucket is lost, and no task holds a bucket.
     """
+    bound_batches(docs.sparkSession)
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc_id"), "text")
     sketches = cut(docs.mapInArrow(_sketch(k), "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>, sig array<long>"))
     classes = cut(sketches.where("n_shingles > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).where("n > 1"))
@@ -185,7 +188,7 @@ def link(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     links = cut(links.unionByName(named.join(shared_id, "doc_id").select(F.col("rep").alias("u"), F.col("lo").alias("v")).where("u != v").distinct()))
     found = cut(components(links))
 
-    apart = _apart(members, found)
+    apart = _apart(members, found, sigs, percent)
     if not apart.isEmpty():
         pairs = _across(docs, apart, reps, k, percent)
         links = links.unionByName(_confirm(docs, pairs, sigs, k, percent))
@@ -196,11 +199,22 @@ def link(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     return joined.select(clean(F.col("doc_id")).alias("doc_id"), "n_shingles", clean(component).alias("component_id"), (F.col("doc_id") == component).alias("kept"), "n_copies")
 
 
-def _apart(members: DataFrame, found: DataFrame) -> DataFrame:
-    """(node, comp) of the members, but for the smallest, of buckets in which they lie in several components."""
+def _apart(members: DataFrame, found: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
+    """(node, comp) of the members, but for the smallest, of buckets in which they lie in several components.
+
+    Texts that have little in common meet in small buckets by chance, the more of them the larger the corpus is. So of a
+    bucket of up to SMALL members only those stay whose signature is near that of one in another component.
+    """
     placed = cut(members.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp")))
-    several = cut(placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("key"))
-    return cut(lookup(placed, several, "key", "left_semi").select("node", "comp").distinct())
+    several = cut(placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("held")).where("lo != hi").select("key", "held"))
+    inside = cut(lookup(placed, several, "key", "inner"))
+    large = inside.where(F.col("held") > SMALL).select("node", "comp")
+    small = inside.where(F.col("held") <= SMALL)
+    signed = small.join(sigs, "node")
+    one, other = (signed.select("key", F.col("node").alias(f"{x}"), F.col("comp").alias(f"comp_{x}"), F.col("sig").alias(f"sig_{x}")) for x in "uv")
+    near = one.join(other, "key").where((F.col("u") < F.col("v")) & (F.col("comp_u") != F.col("comp_v")) & (_unequal("sig_u", "sig_v") <= _most_unequal(percent)))
+    met = near.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.col("comp_u").alias("comp")), F.struct(F.col("v").alias("node"), F.col("comp_v").alias("comp")))).alias("x")).select("x.*")
+    return cut(large.unionByName(met).distinct())
 
 
 def _across(docs: DataFrame, apart: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame:

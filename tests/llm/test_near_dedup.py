@@ -124,8 +124,9 @@ def near_copies(words, n, changes, seed, start=0):
     return rows
 
 
-@pytest.mark.parametrize("order", [1_000_000, 50])
-def test_large_groups_of_near_copies(spark, monkeypatch, order):
+@pytest.mark.parametrize(("order", "small"), [(1_000_000, 64), (50, 0), (50, 10_000)])
+def test_large_groups_of_near_copies(spark, monkeypatch, order, small):
+    monkeypatch.setattr(near_dedup, "SMALL", small)
     # around the threshold, so that buckets hold several components, single ones and links that no leader finds
     monkeypatch.setattr(near_dedup, "ORDER_SHINGLES", order)
     rows = near_copies(120, 250, (4, 18), 1) + near_copies(90, 150, (6, 12), 2, 1000)
