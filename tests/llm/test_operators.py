@@ -1,4 +1,5 @@
 import base64
+import bisect
 import gzip
 import hashlib
 import random
@@ -292,6 +293,37 @@ def test_equal_texts_share_a_shard_unless_they_are_many(spark):
     assert max(sizes) < 1.05 * min(sizes)
 
 
+@pytest.mark.parametrize("ranges", [4, 64])
+def test_shards_equal_a_plain_pass_over_sorted_rows(spark, ranges):
+    draw = random.Random(4)
+    rows = [(i, "same" if i % 4 == 0 else "z" * draw.randint(0, 90), "s") for i in range(900)] + [(7, "again", "s")] * 300 + [(None, None, "s")] * 40
+    df = spark.createDataFrame(rows, DOCS + ", source string")
+    keyed = df.select("doc_id", sharding._key([F.col("source")]).alias("shard_key"), (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"))
+    splitters, stats = sharding.splitters_for(keyed.select("shard_key", "size"), 8 * ranges)
+    segments = sharding._segments(stats, 8)
+    want, ordered = Counter(), sorted((r.shard_key, -1 if r.doc_id is None else r.doc_id) for r in keyed.collect())
+    place, last = 0, None
+    for key, doc in ordered:
+        of = bisect.bisect_right(splitters, key)
+        place, last = (place + 1 if of == last else 0), of
+        shard, shift = next((s, h) for r, first, end, s, h in segments if r == of and first <= place <= end)
+        want[doc, shard, place + shift] += 1
+    got = [(r.doc_id if r.doc_id is not None else -1, r.shard, r.slot) for r in sharding.shard(df, 8, ranges).collect()]
+    # alike keys may take one another's slots, so rows count by document and shard, and slots by shard
+    assert Counter((d, s) for d, s, _ in got) == Counter((d, s) for d, s, _ in want.elements())
+    assert sorted((s, n) for _, s, n in got) == sorted((s, n) for _, s, n in want.elements())
+
+
+def test_repeats_of_one_row_are_dealt_in_chunks(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "CHUNK", 7)
+    df = spark.createDataFrame([(1, "alike", "a")] * 500 + [(1, "alike", "b")] * 300 + [(i, f"text {i}", "c") for i in range(2, 60)], DOCS + ", row string")
+    got = sharding.shard(df, 4).collect()
+    assert Counter((r.doc_id, r.row) for r in got) == Counter((r.doc_id, r.row) for r in df.collect())
+    for shard in range(4):
+        own = [r for r in got if r.shard == shard]
+        assert sorted(r.slot for r in own) == list(range(len(own))) and abs(sum(r["size"] for r in own) * 4 / sum(r["size"] for r in got) - 1) < 0.1
+
+
 def test_one_key_over_many_shards(spark):
     df = spark.createDataFrame([(1, "alike")] * 1000, DOCS)
     got = sharding.shard(df, 4).groupBy("shard").agg(F.count("*").alias("n"), F.max("slot").alias("m")).collect()
