@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import html
-import re
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.utils import AnalysisException
 
+from ..functions.html import decoded
 from ..schemas import ART_PAGES, COLOURS, SCRAPE_RESULTS, require_columns
 
 
@@ -64,37 +61,15 @@ def palette(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(i, n, *rgb) for i, (n, rgb) in enumerate(COLOURS.items())], "ord int, name string, r int, g int, b int")
 
 
-class _Page(InputPartition):
-    def __init__(self, path: str):
-        super().__init__(path)
-
-
-class _ListingReader(DataSourceReader):
-    def __init__(self, paths: list[str], colour: str):
-        self.paths, self.colour = paths, colour
-
-    def partitions(self):
-        return [_Page(p) for p in self.paths]
+#: A tile of a listing page: the link, then the style of its image.
+_TILE = r"""(?is)<a\b[^>]*href=["']([^"']+)["'][^>]*>.*?background-image:\s*(none|url\([^)]*\))"""
 
-    def read(self, partition):
-        with open(partition.value, encoding="utf-8") as f:
-            text = f.read()
-        for page, style in re.findall(r"""(?is)<a\b[^>]*href=["']([^"']+)["'][^>]*>.*?background-image:\s*(none|url\([^)]*\))""", html.unescape(text)):
-            yield page, style, self.colour
 
+def read_listings(spark: SparkSession, path: str, colour: str) -> DataFrame:
+    """page, image and color of each tile of the saved listing pages at path, which any store that Spark reads may hold. Stands for the browser crawl.
 
-class ListingSource(DataSource):
-    """Saved listing pages, format "saved_listing": page, image and color of each tile. Stands for the browser crawl.
-
-    Options: paths (comma-separated files that every executor sees) and color.
+    Tiles come in any order; character references are resolved before they are looked for.
     """
-
-    @classmethod
-    def name(cls) -> str:
-        return "saved_listing"
-
-    def schema(self) -> str:
-        return "page string, image string, color string"
-
-    def reader(self, schema):
-        return _ListingReader([p for p in self.options.get("paths", "").split(",") if p], self.options.get("color", ""))
+    pages = spark.read.text(path, wholetext=True).select(decoded("value").alias("html"))
+    tiles = pages.select(F.explode(F.regexp_extract_all("html", F.lit(_TILE), F.lit(0))).alias("tile"))
+    return tiles.select(F.regexp_extract("tile", _TILE, 1).alias("page"), F.regexp_extract("tile", _TILE, 2).alias("image"), F.lit(colour).alias("color"))

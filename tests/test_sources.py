@@ -46,11 +46,11 @@ def test_sinks(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "i")).first().length == 2
 
 
-def test_listing_source(spark, tmp_path):
-    (tmp_path / "l.html").write_text('<a href="/p1"><div style="background-image: url(&quot;i.jpg&quot;);"></div></a>')
-    spark.dataSource.register(files.ListingSource)
-    got = spark.read.format("saved_listing").option("paths", str(tmp_path / "l.html")).option("color", "red").load().first()
-    assert tuple(got) == ("/p1", 'url("i.jpg")', "red")
+def test_listings(spark, tmp_path):
+    (tmp_path / "l.html").write_text('<a href="/p1"><div style="background-image: url(&quot;i.jpg&quot;);"></div></a>\n<a class="x" href="/p2?a=1&amp;b=2">\n<div style="background-image: none"></div></a>')
+    (tmp_path / "m.html").write_text("<p>no tiles</p>")
+    got = files.read_listings(spark, f"{tmp_path}/*.html", "red")
+    assert sorted(map(tuple, got.collect())) == [("/p1", 'url("i.jpg")', "red"), ("/p2?a=1&b=2", "none", "red")]
 
 
 def test_stream_resumes(spark, tmp_path):
