@@ -138,7 +138,8 @@ def q_silhouette_bars(spark, sf_dir):
 
 
 def _inertia(spark, sf_dir):
-    return d.table(spark, sf_dir, "events").where("event_id < 30").select(F.col("event_id").alias("run"), (F.lit(1000.0) + F.col("value") / (F.col("event_id") + 1)).alias("inertia"))
+    runs = d.table(spark, sf_dir, "events").groupBy((F.col("event_id") % 30).alias("run")).agg(F.avg("value").alias("v"))
+    return runs.select("run", (F.lit(1000.0) + F.col("v") / (F.col("run") + 1)).alias("inertia"))
 
 
 def q_early_stop(spark, sf_dir):
@@ -148,7 +149,8 @@ def q_early_stop(spark, sf_dir):
 
 def q_knee(spark, sf_dir):
     """F5"""
-    series = d.table(spark, sf_dir, "events").where("event_id BETWEEN 1 AND 30").select(F.col("event_id").alias("k"), (F.lit(1000.0) / F.col("event_id")).alias("inertia"))
+    means = d.table(spark, sf_dir, "events").groupBy((F.col("event_id") % 30 + 1).alias("k")).agg(F.avg("value").alias("v"))
+    series = means.select("k", ((F.lit(1000.0) + F.col("v")) / F.col("k")).alias("inertia"))
     return cluster.knee(series).select("k", F.round("difference", 6).alias("difference"), "is_knee")
 
 
@@ -236,9 +238,9 @@ SQL = {
     "q_density": f"""with {_MELT}, g as (select channel, count(value) as n, stddev_samp(value) * pow(count(value), -0.2::double) as h, min(value) as lo, max(value) as hi from melted group by 1),
       p as (select *, lo - 3 * h + (hi - lo + 6 * h) * i / 63 as x from g, range(64) r(i))
       select channel, cast(i as integer) as i, round(x, 6) as x, round(sum(exp(-0.5::double * pow((x - value) / h, 2)) / (sqrt(2 * pi()) * h * n)), 6) as density from p join melted using (channel) group by channel, i, x""",
-    "q_early_stop": """with r as (select event_id as run, 1000.0::double + value / (event_id + 1) as inertia from events where event_id < 30),
+    "q_early_stop": """with r as (select run, 1000.0::double + v / (run + 1) as inertia from (select event_id % 30 as run, avg(value) as v from events group by 1)),
       w as (select run, min(inertia) over (order by run) as best, max(inertia) over f as hi, min(inertia) over f as lo from r window f as (order by run rows between 4 preceding and current row)) select run, round(best, 6) as best_so_far, run >= 5 and (hi - lo) / lo < 0.01 as stop from w""",
-    "q_knee": """with r as (select event_id as k, 1000.0::double / event_id as y from events where event_id between 1 and 30), n as (select k, (k - min(k) over ()) / cast(max(k) over () - min(k) over () as double) as x, (y - min(y) over ()) / (max(y) over () - min(y) over ()) as yn, 1.0::double / (count(*) over () - 1) as step from r),
+    "q_knee": """with r as (select k, (1000.0::double + v) / k as y from (select event_id % 30 + 1 as k, avg(value) as v from events group by 1)), n as (select k, (k - min(k) over ()) / cast(max(k) over () - min(k) over () as double) as x, (y - min(y) over ()) / (max(y) over () - min(y) over ()) as yn, 1.0::double / (count(*) over () - 1) as step from r),
       f as (select k, step, 1 - yn - x as difference from n), p as (select *, coalesce(difference >= lag(difference) over (order by k) and difference > lead(difference) over (order by k), false) as peak from f), g as (select *, sum(peak::int) over (order by k) as g from p),
       c as (select *, peak and min(difference) over (partition by g) < max(case when peak then difference end) over (partition by g) - step as cand from g) select k, round(difference, 6) as difference, coalesce(k = (select min(k) from c where cand), false) as is_knee from c""",
     "q_best_per_group": f"with {d.ATTEMPTS} select event_type, value, event_id from attempts qualify row_number() over (partition by event_type order by value desc, event_id) = 1",
