@@ -26,8 +26,8 @@ _WHITE_SQL = WHITE.encode("unicode_escape").decode().replace("'", "\\'")
 
 
 def _normal(line: F.Column) -> F.Column:
-    """Lower case, digit runs as 0, white space collapsed."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(line), r"[\x20\x09-\x0D]+", " "), "[0-9]+", "0"))
+    """Lower case, digit runs as 0, white space collapsed; single spaces, which are most of it, match nothing."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(line), r"[\x20\x09-\x0D]{2,}|[\x09-\x0D]", " "), "[0-9]+", "0"))
 
 
 def _figures(docs: DataFrame, host: str) -> DataFrame:
@@ -47,14 +47,16 @@ def _figures(docs: DataFrame, host: str) -> DataFrame:
         "doc_id", "host", "key_1", "key_2", "word_chars", "n_symbols",
         F.size("words").cast("long").alias("n_words"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        F.expr(f"CASE WHEN size(words) >= {WINDOW} THEN transform(sequence(1, size(words) - {WINDOW - 1}), i -> xxhash64(slice(words, i, {WINDOW}))) ELSE array() END").alias("windows"),
-        F.array_distinct(F.transform("lines", lambda x: F.struct(F.xxhash64(_normal(x)).alias("line"), F.length(_normal(x)).alias("chars")))).alias("lines"),
+        F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"),
+        F.array_distinct(F.transform(F.transform("lines", _normal), lambda x: F.struct(F.xxhash64(x).alias("line"), F.length(x).alias("chars")))).alias("lines"),
     )
+    in_window = ", ".join(f"hashes[i + {j}]" for j in range(WINDOW))
+    windows = F.expr(f"CASE WHEN size(hashes) >= {WINDOW} THEN transform(sequence(0, size(hashes) - {WINDOW}), i -> xxhash64({in_window})) ELSE array() END")
+    hashed = hashed.withColumn("windows", windows).drop("hashes").withColumn("again", F.size(F.array_distinct("windows")) < F.size("windows"))
     # window hashes are sorted with their places; equal neighbours repeat. Up to SMALL windows the places go into the low
     # bits, which leaves 48 bits of hash; beyond, pairs of the whole hash and the place are sorted
-    again = "CASE WHEN size(array_distinct(windows)) < size(windows) AND size(windows) {0} THEN {1} ELSE array() END"
-    tagged = hashed.withColumn("packed", F.expr(again.format(f"<= {SMALL}", f"sort_array(transform(windows, (h, i) -> shiftleft(h, {SMALL_BITS}) | cast(i as bigint)))")))
-    tagged = tagged.withColumn("pairs", F.expr(again.format(f"> {SMALL}", "sort_array(transform(windows, (h, i) -> struct(h AS h, cast(i as bigint) AS i)))").replace("array()", "cast(array() AS array<struct<h:bigint,i:bigint>>)"))).drop("windows")
+    tagged = hashed.withColumn("packed", F.expr(f"CASE WHEN again AND size(windows) <= {SMALL} THEN sort_array(transform(windows, (h, i) -> shiftleft(h, {SMALL_BITS}) | cast(i as bigint))) ELSE array() END"))
+    tagged = tagged.withColumn("pairs", F.expr(f"CASE WHEN again AND size(windows) > {SMALL} THEN sort_array(transform(windows, (h, i) -> struct(h AS h, cast(i as bigint) AS i))) ELSE cast(array() AS array<struct<h:bigint,i:bigint>>) END")).drop("windows", "again")
     same = f"shiftright(x, {SMALL_BITS}) = shiftright(get(packed, i {{0}} 1), {SMALL_BITS})"
     placed = tagged.withColumn(
         "places",
