@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, lookup
+from .common import cut
 
 
 def _least(pairs: DataFrame) -> DataFrame:
@@ -15,13 +15,13 @@ def _least(pairs: DataFrame) -> DataFrame:
 def _large_star(links: DataFrame) -> DataFrame:
     both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
     to = cut(_least(both).withColumn("m", F.least("u", "m")))
-    return lookup(both.where("v > u"), to, "u", "inner").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+    return both.where("v > u").join(to, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
 
 
 def _small_star(links: DataFrame) -> DataFrame:
     down = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     to = cut(_least(down))
-    moved = lookup(down, to, "u", "inner").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    moved = down.join(to, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(to.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -29,7 +29,7 @@ def components(links: DataFrame) -> DataFrame:
     """(node, component) of every node in links (u, v), two longs; a component is its smallest node.
 
     Minima are combined before the shuffle, so a node with very many links costs one row a task; they are
-    cut before the join, which so is a broadcast or one whose skewed nodes adaptive execution divides. Each
+    cut before the join, so that adaptive execution can divide the nodes that are skewed. Each
     round is written to the checkpoint folder and its lineage cut. Repeated links and loops do no harm.
     """
     stars = links.where("u != v").select("u", "v").distinct()

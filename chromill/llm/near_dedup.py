@@ -232,11 +232,11 @@ def _across(docs: DataFrame, apart: DataFrame, reps: DataFrame, k: int, percent:
     nodes = cut(apart.join(reps.select("node", "n_shingles"), "node"))
     total = nodes.agg(F.sum("n_shingles")).first()[0] or 0
     drawn = nodes.where(F.pmod(F.xxhash64("node", F.lit(11)), F.lit(1 << 30)) < F.lit(int((1 << 30) * min(1.0, ORDER_SHINGLES / max(total, 1)))))
-    met = _shingle_sets_of(docs, drawn, k).select(F.explode("set").alias("token")).groupBy("token").count().where("count > 1").toPandas()
-    common = met["token"].to_numpy(np.int64).view(np.uint64)
+    met = _shingle_sets_of(docs, drawn, k).select(F.explode("set").alias("token")).groupBy("token").count().where("count > 1").toArrow()
+    common, often = met["token"].to_numpy().view(np.uint64), met["count"].to_numpy()
     order = np.argsort(common)
     wanted = nodes.select(F.col("node").alias("doc_id"), "comp")
-    first = lookup(docs, wanted, "doc_id", "inner").mapInArrow(_prefixes(k, percent, common[order], met["count"].to_numpy(np.int64)[order]), "token long, node long, comp long, n long, at long")
+    first = lookup(docs, wanted, "doc_id", "inner").mapInArrow(_prefixes(k, percent, common[order], often[order]), "token long, node long, comp long, n long, at long")
     first = cut(first)
 
     per = first.groupBy("token", "comp").agg(F.count("*").alias("held")).groupBy("token")
