@@ -54,7 +54,7 @@ def _token(raw: str) -> tuple[int, int, bool, bool]:
     """Kind, hash of the bare lower-case word, whether a sentence ends here, whether it can be a unit."""
     bare = _EDGES.sub("", raw)
     low = bare.lower()
-    kind = _SKIP if not bare else _NUM if _NUMBER.fullmatch(low) or low in NUMBERS or _COMPOUND.fullmatch(low) else _CAPITAL if bare[0].isupper() and bare[1:].islower() else _LITERAL
+    kind = _SKIP if not bare else _NUM if _NUMBER.fullmatch(low) or low in NUMBERS or "-" in low and _COMPOUND.fullmatch(low) else _CAPITAL if bare[0].isupper() and bare[1:].islower() else _LITERAL
     return kind, xxhash.xxh64_intdigest(low), raw.rstrip("\"')]»”").endswith((".", "!", "?", ":")), low in UNITS
 
 
