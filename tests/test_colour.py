@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -94,3 +95,32 @@ def test_image_features_and_dominant_colours(spark):
 def test_percent_strings(spark):
     df = spark.createDataFrame([("56.55%", None), ("x", "1%")], "black string, blue string")
     assert [tuple(r) for r in palette.parse_percent(df, ("black", "blue")).collect()] == [(pytest.approx(0.5655), None), (None, pytest.approx(0.01))]
+
+
+def test_starts_that_go_together_end_as_each_alone():
+    points = np.random.default_rng(3).integers(0, 256, (300, 3)).astype(float)
+    seeds = palette._seed(points, 12, 4, np.random.default_rng(7))
+    ends = []
+    for centres in seeds:
+        for _ in range(50):
+            label = ((points[:, None] - centres[None]) ** 2).sum(-1).argmin(1)
+            moved = np.array([points[label == i].mean(0) if (label == i).any() else centres[i] for i in range(12)])
+            if np.allclose(moved, centres):
+                break
+            centres = moved
+        ends.append((((points - centres[label]) ** 2).sum(), centres))
+    assert np.allclose(palette._lloyd(points, 12, 7, 4), min(ends, key=lambda x: x[0])[1])
+    assert len(np.unique(seeds[0], axis=0)) == 12 and palette._lloyd(points[:1].repeat(3, 0), 2, 7, 2).shape == (2, 3)
+
+
+def test_dominant_colours_are_computed_once_for_shares(spark):
+    runs = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            runs.add(batch.num_rows)
+            yield batch
+
+    rows = spark.createDataFrame([("a", 250, 0, 0, 0.5), ("a", 0, 0, 250, 0.5), ("b", 0, 0, 0, 1.0)], "url string, r int, g int, b int, share double")
+    assert palette.basic_shares(rows.mapInArrow(counted, rows.schema)).count() == 2
+    assert runs.value == 3
