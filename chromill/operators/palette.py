@@ -54,7 +54,7 @@ def basic_shares(clustered: DataFrame, image: str = "url") -> DataFrame:
 _HELD = 1 << 16
 
 
-def _seed(points: np.ndarray, k: int, starts: int, draw: np.random.Generator) -> np.ndarray:
+def kmeans_plus_plus(points: np.ndarray, k: int, starts: int, draw: np.random.Generator) -> np.ndarray:
     """k-means++ for all starts at once, centres as (starts, k, columns): far points are likelier, each point keeps its smallest gap."""
     chosen = [points[draw.integers(len(points), size=starts)]]
     gap = np.full((starts, len(points)), np.inf)
@@ -81,7 +81,7 @@ def _nearest(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
 
 def _lloyd(points: np.ndarray, k: int, seed: int, starts: int, rounds: int = 50) -> np.ndarray:
     """The best centres of several starts, which go through their rounds together until each stands still."""
-    centres = _seed(points, k, starts, np.random.default_rng(seed))
+    centres = kmeans_plus_plus(points, k, starts, np.random.default_rng(seed))
     label, going = np.empty((len(points), starts), np.int64), np.arange(starts)
     for _ in range(rounds):
         own, now = centres[going], len(going)

@@ -99,7 +99,7 @@ def test_percent_strings(spark):
 
 def test_starts_that_go_together_end_as_each_alone():
     points = np.random.default_rng(3).integers(0, 256, (300, 3)).astype(float)
-    seeds = palette._seed(points, 12, 4, np.random.default_rng(7))
+    seeds = palette.kmeans_plus_plus(points, 12, 4, np.random.default_rng(7))
     ends = []
     for centres in seeds:
         for _ in range(50):
