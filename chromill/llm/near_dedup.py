@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, cut, lookup, unused
+from .common import bound_batches, cut, lookup, release, unused
 from .components import components
 from .tokens import fold, shingle_sets, slices
 
@@ -28,6 +28,8 @@ ORDER_SHINGLES = 1_000_000
 SIZE_CLASS = 1.1
 #: Members of a bucket up to which signatures are compared within it.
 SMALL = 64
+#: A side of a join of narrow rows is broadcast up to so many bytes: the driver holds a table of them, and shuffling such rows costs little.
+NARROW_BYTES = 8 << 20
 _NO_ID = -(2**63)
 
 _draw = np.random.default_rng(20240607)
@@ -173,26 +175,31 @@ def link(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc_id"), "text")
     sketches = cut(docs.mapInArrow(_sketch(k), "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>, sig array<long>"))
     classes = cut(sketches.where("n_shingles > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).where("n > 1"))
-    named = lookup(sketches, classes, ["s1", "s2"]).withColumn("rep", F.coalesce("rep", "doc_id")).withColumn("n_copies", F.coalesce("n", F.lit(1)))
+    named = lookup(sketches, classes, ["s1", "s2"], most=NARROW_BYTES).withColumn("rep", F.coalesce("rep", "doc_id")).withColumn("n_copies", F.coalesce("n", F.lit(1)))
     named = named.withColumn("rep", F.when(F.col("n_shingles") > 0, F.col("rep")).otherwise(F.col("doc_id")))
     reps = named.where("doc_id = rep AND n_shingles > 0").select(F.col("doc_id").alias("node"), "n_shingles", "bands", "sig")
     sigs = reps.select("node", "sig")
 
     banded = reps.select("node", F.explode("bands").alias("key"))
     shared = cut(banded.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader != last").select("key", "leader"))
-    members = cut(lookup(banded, shared, "key", "inner").where("node != leader"))
+    members = cut(lookup(banded, shared, "key", "inner", NARROW_BYTES).where("node != leader"))
+    release(docs.sparkSession)
     links = _confirm(docs, members.select(F.col("node").alias("u"), F.col("leader").alias("v")).distinct(), sigs, k, percent)
 
     # rows that share an id hold their classes together
     shared_id = named.groupBy("doc_id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo != hi")
     links = cut(links.unionByName(named.join(shared_id, "doc_id").select(F.col("rep").alias("u"), F.col("lo").alias("v")).where("u != v").distinct()))
+    release(docs.sparkSession)
     found = cut(components(links))
+    release(docs.sparkSession)
 
     apart = _apart(members, found, sigs, percent)
     if not apart.isEmpty():
         pairs = _across(docs, apart, reps, k, percent)
+        release(docs.sparkSession)
         links = links.unionByName(_confirm(docs, pairs, sigs, k, percent))
         found = cut(components(cut(links)))
+    release(docs.sparkSession)
     joined = named.select("doc_id", "n_shingles", "rep", "n_copies").join(found.withColumnRenamed("node", "rep"), "rep", "left")
     component = F.coalesce("component", "rep")
     clean = lambda c: F.when(c != _NO_ID, c)
@@ -207,7 +214,7 @@ def _apart(members: DataFrame, found: DataFrame, sigs: DataFrame, percent: int)
     """
     placed = cut(members.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp")))
     several = cut(placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("held")).where("lo != hi").select("key", "held"))
-    inside = cut(lookup(placed, several, "key", "inner"))
+    inside = cut(lookup(placed, several, "key", "inner", NARROW_BYTES))
     large = inside.where(F.col("held") > SMALL).select("node", "comp")
     small = inside.where(F.col("held") <= SMALL)
     signed = small.join(sigs, "node")
@@ -238,10 +245,11 @@ def _across(docs: DataFrame, apart: DataFrame, reps: DataFrame, k: int, percent:
     wanted = nodes.select(F.col("node").alias("doc_id"), "comp")
     first = lookup(docs, wanted, "doc_id", "inner").mapInArrow(_prefixes(k, percent, common[order], often[order]), "token long, node long, comp long, n long, at long")
     first = cut(first)
+    release(docs.sparkSession)
 
     per = first.groupBy("token", "comp").agg(F.count("*").alias("held")).groupBy("token")
     mixed = cut(per.agg(F.max_by("comp", F.struct("held", "comp")).alias("main"), F.count("*").alias("comps")).where("comps > 1").select("token", "main"))
-    rows = lookup(first, mixed, "token", "inner")
+    rows = lookup(first, mixed, "token", "inner", NARROW_BYTES)
     # the largest size of a set that can link with this one through this shingle
     rows = cut(rows.withColumn("most", F.expr(f"(n * 100 - at * {100 + percent}) DIV {percent}")))
     step = lambda n: F.floor(F.log(n.cast("double")) / F.lit(np.log(SIZE_CLASS))).cast("int")

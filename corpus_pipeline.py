@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from chromill.llm import decontam, mixing, near_dedup, quality_rules, sharding
-from chromill.llm.common import remove, scratch
+from chromill.llm.common import release, remove, scratch
 
 SHARDS = 16
 
@@ -59,5 +59,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         stage(spark, docs, sf_dir).write.parquet(path)
         if before:
             remove(spark, before)
+        release(spark)
         docs, before = spark.read.parquet(path), path
     return STAGES[-1][1](spark, docs, sf_dir)
