@@ -91,6 +91,14 @@ def test_components_of_paths_and_stars(spark):
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def test_estimated_sizes_do_not_grow_by_round(spark):
+    links = spark.range(299).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v"))
+    found = components(links)
+    assert {(r.component, r.n) for r in found.groupBy("component").agg(F.count("*").alias("n")).collect()} == {(0, 300)}
+    bits = found._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length()
+    assert bits < 1000, f"planning handles sizes of {bits} bits"
+
+
 def test_estimate_bounds():
     assert near_dedup._least_estimate(80) < 0.66 and near_dedup._most_unequal(80) > 0.2 * near_dedup._N
 
